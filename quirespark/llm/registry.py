@@ -5,26 +5,115 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm import content_sort, simhash
+from quirespark.llm import content_sort, line_dedup, packing, simhash, url_filter, warc, wu_manber
+from quirespark.llm.common import new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.numbered(_table(spark, sf_dir, "pages"))
+    folder = new_folder(spark, "warc")
+    manifest = warc.write_archives(warc.plan_records(pages), warc.chunked(pages), folder)
+    chunks = warc.read_archives(manifest, folder, with_data=False)
+    return chunks.where("last").select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+#: (action, host, path), as the contract fixes them.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wu_manber.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate lines of all documents: (doc_id, line_no) and the earliest line within one word edit."""
+    found = line_dedup.duplicate_lines(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.col("line_no").cast("long").alias("line_no"),
+        F.col("first_doc").alias("first_doc_id"),
+        F.col("first_line").cast("long").alias("first_line_no"),
+    )
+
+
 QUERIES = {
+    "op2_warc_chunks": op2_warc_chunks,
     "op3_content_sort": op3_content_sort,
+    "op5_binary_packing": op5_binary_packing,
+    "op6_redirect_equivalence": op6_redirect_equivalence,
+    "op7_wu_manber": op7_wu_manber,
     "op8_simhash": op8_simhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES = {
+    "op2_warc_chunks": """
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM (SELECT page_id, h, n, max(page_id) OVER (PARTITION BY h) AS m
+      FROM (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages))""",
+    "op6_redirect_equivalence": r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, split_part(url, '#', 1) AS node,
+         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canonical,
+         regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS refresh
+  FROM pages),
+e AS (SELECT node AS a, split_part(replace(t, '&amp;', '&'), '#', 1) AS b FROM (SELECT node, unnest([canonical, refresh]) AS t FROM p WHERE contains(url, '://')) WHERE contains(t, '://')),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM s UNION SELECT r.a, s.b FROM reach r JOIN s ON r.b = s.a),
+rules(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+n AS (SELECT DISTINCT b, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(b, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM reach),
+na AS (SELECT b, arg_max(action, length(rhost || rpath)) AS action FROM n JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY b),
+spread AS (SELECT a, CASE WHEN bool_or(action = 'allow') THEN 'allow' ELSE 'block' END AS v FROM reach JOIN na USING (b) GROUP BY a),
+own AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
+        FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, v, 'allow') AS verdict FROM p LEFT JOIN own USING (page_id) LEFT JOIN spread ON node = a""",
+    "op7_wu_manber": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bm AS (SELECT item_id, w, least(10, len(w)) AS m FROM bw WHERE len(w) > 0),
+pat AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS g FROM (SELECT *, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM bm)),
+gram AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS g
+         FROM (SELECT doc_id, w, m, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM dw, (SELECT DISTINCT m FROM pat) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, gram.m, i, item_id FROM gram JOIN pat ON gram.m = pat.m AND gram.g = pat.g),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op3_content_sort": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
