@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm import content_sort, line_dedup, packing, simhash, url_filter, warc, wu_manber
+from quirespark.llm import content_sort, line_dedup, packing, simhash, surrogates, url_filter, warc, wu_manber
 from quirespark.llm.common import new_folder
 
 
@@ -66,6 +66,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates in place of personal data: (doc_id, text, n_entities, n_distinct)."""
+    found = surrogates.replace_pii(_table(spark, sf_dir, "documents"), key="quire")
+    return found.select("doc_id", "text", "n_entities", "n_distinct")
+
+
 QUERIES = {
     "op2_warc_chunks": op2_warc_chunks,
     "op3_content_sort": op3_content_sort,
@@ -74,6 +80,7 @@ QUERIES = {
     "op7_wu_manber": op7_wu_manber,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
+    "op10_surrogates": op10_surrogates,
 }
 ORACLES = {
     "op2_warc_chunks": """
