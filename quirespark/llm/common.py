@@ -46,3 +46,14 @@ def held_out(doc_id: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """Only A-Z become lower case."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def training_labels(labels: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, label) of at most ``most`` labelled rows outside the test fold, the first in hash order.
+
+    Of a document with several labels the larger counts. ``most`` bounds what
+    a fit gathers, whatever the corpus' size.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    one = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    return one.orderBy(F.xxhash64("id"), "id").limit(most)

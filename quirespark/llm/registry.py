@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm import content_sort, line_dedup, packing, simhash, surrogates, url_filter, warc, wu_manber
+from quirespark.llm import content_sort, line_dedup, packing, ranking, simhash, surrogates, toxicity, url_filter, warc, wu_manber
 from quirespark.llm.common import new_folder
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxic_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, labels))
+
+
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.numbered(_table(spark, sf_dir, "pages"))
     folder = new_folder(spark, "warc")
@@ -25,6 +30,11 @@ def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return ranking.score_quality(docs, ranking.fit(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,8 +83,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxic_chain": op1_toxic_chain,
     "op2_warc_chunks": op2_warc_chunks,
     "op3_content_sort": op3_content_sort,
+    "op4_pairwise_quality": op4_pairwise_quality,
     "op5_binary_packing": op5_binary_packing,
     "op6_redirect_equivalence": op6_redirect_equivalence,
     "op7_wu_manber": op7_wu_manber,
