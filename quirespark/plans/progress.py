@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as tx
+from quirespark.plans.text import sql_words
 from quirespark.session import table
 
 
@@ -22,8 +23,6 @@ def progress_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_WORDS = r"""len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}\p{{M}}]+(?:[''’\-][\p{{L}}\p{{N}}\p{{M}}]+)*'))"""
-
 QUERIES = {"progress_rollup": progress_rollup}
 ORACLES = {
     "progress_rollup": f"""
@@ -31,5 +30,5 @@ SELECT conv_id, CAST(sum(w) AS BIGINT) AS total_words, count(*) AS n_turns,
        CAST(sum(CASE WHEN role <> 'user' THEN w ELSE 0 END) AS BIGINT) AS done_words,
        CAST(bool_and(role <> 'user') AS INT) AS complete,
        min(CASE WHEN role = 'user' THEN turn END) AS first_open_turn
-FROM (SELECT *, {SQL_WORDS.format("coalesce(text, '')")} AS w FROM conversations) GROUP BY conv_id"""
+FROM (SELECT *, {sql_words("text")} AS w FROM conversations) GROUP BY conv_id"""
 }

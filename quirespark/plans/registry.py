@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quirespark.plans import progress
+from quirespark.plans import joins, progress, text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (progress,):
+for _module in (progress, text, joins):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
