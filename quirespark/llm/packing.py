@@ -21,32 +21,70 @@ _CACHES: dict = {}
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class _Known(dict):
+    """Parts and their ids; what was used lately survives when ``most`` are held."""
+
+    def __init__(self, find, most: int):
+        super().__init__()
+        self.find, self.most, self.old = find, most, {}
+
+    def __missing__(self, part):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        ids = self.old.get(part)
+        self[part] = ids = self.find(part) if ids is None else ids
+        return ids
+
+
 class WordCache:
     """Token ids, as little-endian bytes, of texts cut at spaces and line feeds.
 
     The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its parts, each of which is encoded once for many uses.
+    text are those of its parts, each of which is encoded once for many uses. A
+    part of letters with punctuation behind it has the ids of both; a word of
+    letters in lower case goes to the merges at once, as none of the tokenizer's
+    normalisers changes it further. Anything else takes the whole tokenizer.
     """
 
-    def __init__(self, path: str, entries: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.entries, self.known = Tokenizer.from_file(path), entries, {"": b""}
+    #: ASCII punctuation but the apostrophe, with which contractions begin.
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str, most: int = 300_000):
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # the bytes' stand-ins in the vocabulary, as the tokenizer's own first stage gives them
+        stage = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        signs = {c: stage.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c == c.lower()}
+        self.signs = str.maketrans(signs)
+        self.plain = set("abcdefghijklmnopqrstuvwxyz") | set(signs)
+        with open(path) as f:
+            kinds = str(json.load(f).get("pre_tokenizer"))
+        self.by_word = "Split" in kinds and "\\p{L}" in kinds  # letters are a word of their own
+        self.parts = _Known(self._part, most)
+        self.words = _Known(self._word, most)
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if self.by_word and word and self.plain.issuperset(word):
+            return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.signs))], "<u4").tobytes()
+        return self._encode(word) if word else b""
+
+    def _part(self, part: str) -> bytes:
+        core = part.rstrip(self.MARKS)
+        if self.by_word and core.isalpha():
+            low = core.lower()
+            if self.plain.issuperset(low):
+                return self.words[low] + self.words[part[len(core) :]]
+        return self._encode(part) if part else b""
 
     def encode(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        new = list({p for p in parts if p not in known})
-        if new:
-            if len(known) > self.entries:
-                known.clear()
-                known[""] = b""
-                new = list(set(parts) - {""})
-            for at in range(0, len(new), 10_000):
-                chunk = new[at : at + 10_000]
-                for part, enc in zip(chunk, self.tokenizer.encode_batch(chunk, add_special_tokens=False), strict=True):
-                    known[part] = np.array(enc.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        return b"".join(map(self.parts.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
 def decompose(n: int, longest: int) -> list[int]:
