@@ -12,10 +12,10 @@ from quirespark.functions.text import folded_term
 SUFFIX = "(?:s|es|'s|s')?"
 
 
-def mentions(text: Column, term: Column) -> Column:
+def mentions(text: Column, term: Column, folded: bool = False) -> Column:
     """The term as a whole word, whatever its case, also in the plural or possessive."""
     quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), folded_term(term), F.lit(rf"\E{SUFFIX}(?![\p{{L}}\p{{N}}])"))
-    return (folded_term(term) != "") & F.regexp_like(folded_term(text), quoted)
+    return (folded_term(term) != "") & F.regexp_like(text if folded else folded_term(text), quoted)
 
 
 def occurs(text: Column, term: Column) -> Column:
@@ -38,8 +38,9 @@ def matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text"
     words = F.regexp_extract_all(folded_term(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     stems = F.transform(words, lambda w: F.array(stem(w), F.when(F.length(w) <= 4, F.substring(w, 1, 2)), F.when(F.length(w) <= 3, F.substring(w, 1, 1))))
     words = F.array_compact(F.array_distinct(F.flatten(stems)))
-    seen = texts.select(text_id, F.col(text).alias("_text"), F.explode(words).alias("stem"))
-    found = seen.join(keyed, "stem").where(occurs(F.col("_text"), F.col("term")) | mentions(F.col("_text"), F.col("term")))
+    pairs = texts.select(text_id, F.explode(words).alias("stem")).join(keyed, "stem").drop("stem")
+    folded = texts.select(text_id, F.col(text).alias("_text"), folded_term(F.col(text)).alias("_folded"))
+    found = pairs.join(folded, text_id).where(occurs(F.col("_text"), F.col("term")) | mentions(F.col("_folded"), F.col("term"), folded=True))
     return found.select(text_id, "term", "pos", "origin", (F.lit(3) + (F.col("origin") == "user").cast("int")).cast("long").alias("score"))
 
 

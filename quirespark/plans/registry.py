@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quirespark.plans import joins, progress, text
+from quirespark.plans import costs, folds, joins, progress, text, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (progress, text, joins):
+for _module in (progress, text, joins, costs, windows, folds):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
