@@ -43,7 +43,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = batch.num_rows
         if not n:
             continue
-        texts, shas, keys = batch.column("content"), batch.column("text_sha256"), batch.column("id").to_numpy(zero_copy_only=False)
+        texts, shas, keys = batch.column("content"), batch.column("text_sha256"), batch.column("id").to_pylist()
         new = np.ones(n, dtype=bool)
         if n > 1:
             new[1:] = ~pc.equal(texts.slice(1), texts.slice(0, n - 1)).to_numpy(zero_copy_only=False)
@@ -52,17 +52,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         head = starts[0] if len(starts) else n
         if head:
-            ids.append(keys[:head])
+            ids += keys[:head]
         for k, s in enumerate(starts):
             if text is not None:
-                rows.append((sha, np.concatenate(ids), text if first else None))
+                rows.append((sha, ids, text if first else None))
                 first = False
             e = starts[k + 1] if k + 1 < len(starts) else n
-            text, sha, ids = (texts[int(s)].as_py() if k + 1 == len(starts) or first else ""), shas[int(s)].as_py(), [keys[s:e]]
+            text, sha, ids = (texts[int(s)].as_py() if k + 1 == len(starts) or first else ""), shas[int(s)].as_py(), keys[s:e]
         if rows:
             yield emit(rows)
     if text is not None:
-        yield emit([(sha, np.concatenate(ids), text)])
+        yield emit([(sha, ids, text)])
 
 
 def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, keep: str = "smallest") -> DataFrame:

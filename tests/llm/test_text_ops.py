@@ -1,0 +1,217 @@
+"""Wu-Manber, packing, WARC, URL filter, surrogates, ranking, toxicity and the pipeline on small fixtures."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quirespark.llm import packing, ranking, surrogates, toxicity, url_filter, warc, wu_manber
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(t):
+    return WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+@pytest.mark.parametrize("block_chars", [32_000_000, 40])
+def test_wu_manber(spark, block_chars):
+    rng = random.Random(4)
+    vocab = ["a", "b", "c", "É", "d1"]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60)))) for i in range(30)] + [(90, None), (91, ""), (92, "..."), (3, "A b, c")]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 5, 7, 9])] + [(20, None), (21, "")]
+    size = 4
+    grams = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(len(w) - min(size, len(w)) + 1 if w else 0):
+            grams.setdefault(tuple(w[k : k + size]), set()).add(str(i))
+    want = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for g, its in grams.items():
+            for k in range(len(w) - len(g) + 1):
+                if tuple(w[k : k + len(g)]) == g:
+                    hit |= set(range(k, k + len(g)))
+                    found |= its
+        want.append((i, len(w), len(hit), sorted(found)))
+    d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, spans int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in wu_manber.contamination(d, b, size, block_chars=block_chars).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert wu_manber.contamination(d.limit(0), b).count() == 0
+    assert {r.n_hit for r in wu_manber.contamination(d, b.limit(0)).collect()} == {0}
+
+
+def test_packing(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    plain = tokenizers.Tokenizer.from_file(path)
+    docs = [(1, "Don't STOP, it's 3x ²½ ΣΑΣ İstanbul <|endoftext|>x été\n\nzwei"), (2, None), (3, ""), (4, "word " * 9000), (4, "again"), (None, "x")]
+    want = []
+    for i, t in docs:
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for n in packing.decompose(len(ids), 4096):
+            want.append((i, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)))
+            at += n
+        assert at == len(ids)
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("start", F.lit("clash"))
+    rows = packing.pack(d, path, with_ids=True).collect()
+    assert sorted(map(str, ((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows))) == sorted(map(str, want))
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 and r.length.bit_count() == 1 and len(r.ids) == r.length for r in rows)
+    assert packing.pack(d.limit(0), path).count() == 0
+
+
+def test_warc_round_trip(spark, tmp_path):
+    big = "é" * 700_000
+    pages = [(1, "http://a/", "x" * 2000), (2, "http://b/", "x" * 2000), (3, None, None), (4, "u\r\nbad: 1", "short"), (5, "", "short"), (6, "http://c/", big), (6, "http://c/", big), (7, "http://d/", ""), (None, "http://e/", "y")]
+    p = warc.numbered(spark.createDataFrame([(*r, 1) for r in pages], "page_id long, url string, html string, bytes int"))
+    folder = f"file://{tmp_path}/archives"
+    manifest = warc.write_archives(warc.plan_records(p), warc.chunked(p, chunk_bytes=1000), folder)
+    rows = warc.read_archives(manifest, folder, chunk_bytes=100_000).collect()
+    done = [r for r in rows if r["last"]]
+    want = []
+    for i, _, html in pages:
+        body = (html or "").encode()
+        most = max((j for j, _, h in pages if h == html and j is not None), default=None)
+        kind = "revisit" if len(body) >= 1000 and i != most else "response"
+        want.append((-1 if i is None else i, len(body), hashlib.sha1(body).hexdigest(), kind, most if kind == "revisit" else None))
+    assert sorted(map(str, ((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in done))) == sorted(map(str, want))
+    chunks = sorted((r for r in rows if r.record_id == 6), key=lambda r: r.chunk_no)
+    assert max(len(r.data) for r in chunks) <= 100_000 and sum(len(r.data) for r in chunks) == 2 * len(big.encode())
+    none = p.limit(0)
+    empty = warc.write_archives(warc.plan_records(none), warc.chunked(none), f"file://{tmp_path}/none")
+    assert warc.read_archives(empty, f"file://{tmp_path}/none").count() == 0
+
+
+def test_url_filter(spark):
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "bad.org", "/")]
+    pages = [
+        (1, "http://X.Net/a", ""), (2, "http://www.example.net/en/1?q#f", ""), (3, "http://mirror.com/p", '<link rel="canonical" href="http://evil.net/x">'),
+        (4, "http://other.com/r", '<meta http-equiv="refresh" content="0; url=/s">'), (5, "http://other.com/s", '<link href="//bad.org/z" rel=canonical>'),
+        (6, "http://good.com/", '<link rel="canonical" href="http://example.net/en/2">'), (7, "http://bad.org/q", '<link rel="canonical" href="http://good.com/">'),
+        (8, None, None), (9, "nothing", ""), (9, "nothing", ""), (10, "http://net", ""), (11, "http://other.com/s#top", ""),
+    ]
+    d = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, verdict string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(d, rules).collect()}
+    assert got == {
+        1: ("x.net", "/a", "net/", "block"), 2: ("www.example.net", "/en/1", "example.net/en/", "allow"), 3: ("mirror.com", "/p", None, "block"),
+        4: ("other.com", "/r", None, "block"), 5: ("other.com", "/s", None, "block"), 6: ("good.com", "/", None, "allow"), 7: ("bad.org", "/q", "bad.org/", "block"),
+        8: ("", "", None, "allow"), 9: ("", "", None, "allow"), 10: ("net", "", None, "allow"), 11: ("other.com", "/s", None, "block"),
+    }
+    assert url_filter.judge_urls(d.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(d, []).collect()} == {"allow"}
+
+
+def test_surrogates(spark):
+    docs = [
+        (1, "Foo.34@mail7.example.com, FOO.34@MAIL7.EXAMPLE.COM; +1 (659) 555-3949 or +1 659 555-3949, 172.242.194.228."),
+        (2, "Mrs Anna Karenina and Mr. Bond, Mr Bond\x01\x02 4111 1111 1111 1111 4381893557741609"), (3, None), (4, ""), (None, "Señora Фатима Ли foo.34@mail7.example.com"),
+        (5, "nothing here 12 1.5"), (1, "again foo.34@mail7.example.com"),
+    ]
+    d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id long, text string, kind string")
+    rows = surrogates.replace_pii(d, "key").collect()
+    assert len(rows) == len(docs) and sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in docs)
+    by = {(r.doc_id, (r.text or "")[:5]): r for r in rows}
+    first = next(r for r in rows if r.doc_id == 1 and r.n_entities == 5)
+    a, b = first.text.split(", ")[0], first.text.split(", ")[1].split(";")[0]
+    assert b == a.upper() and a.endswith(".com") and a.lower() != "foo.34@mail7.example.com" and re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", a)
+    phones = re.findall(r"\+1 \(?\d{3}\)? \d{3}-\d{4}", first.text)
+    assert len(phones) == 2 and len({re.sub(r"\D", "", p) for p in phones}) == 1 and "659" not in first.text
+    second = next(r for r in rows if r.doc_id == 2)
+    assert "Anna" not in second.text and "\x01\x02" in second.text and len(set(re.findall(r"Mr\.? (\w+)", second.text))) == 1
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}", second.text)
+    luhn = lambda c: sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(c.replace(" ", "")))) % 10 == 0
+    assert luhn(cards[0])
+    assert re.search(r"Señora [А-Я]", next(r for r in rows if r.doc_id is None).text)
+    assert next(r for r in rows if r.doc_id == 5).text == docs[5][1] and next(r for r in rows if r.doc_id == 3).text is None
+    assert surrogates.replace_pii(d.limit(0), "key").count() == 0 and by
+
+
+def test_surrogates_stay_distinct(spark):
+    """A small space forces collisions; each is resolved."""
+    docs = spark.createDataFrame([(i, f"{c}@{c}.io") for i, c in enumerate("abcdefghijklmnopqrst")], "doc_id long, text string")
+    texts = [r.text for r in surrogates.replace_pii(docs, "k").collect()]
+    real = {f"{c}@{c}.io" for c in "abcdefghijklmnopqrst"}
+    assert len(set(texts)) == 20 and not real & set(texts)
+
+
+def labelled(spark):
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(80)]
+    docs, labels = [], []
+    for i in range(400):
+        bad, toxic = i % 4 == 0, i % 5 == 1
+        w = [rng.choice(vocab) for _ in range(rng.randint(20, 60))]
+        if toxic:
+            for _ in range(4):
+                w[rng.randrange(len(w))] = rng.choice(["scumbag", "idiot", "vilefoo", "vilebar"])
+        text = " ".join(w) + "."
+        docs.append((i, text.upper().replace(" ", "!! ") if bad else text))
+        labels.append((i, int(not bad), int(toxic)))
+    docs += [(900, None), (901, ""), (902, "x " * 50_000), (903, "idiot")]
+    return (
+        spark.createDataFrame([(*d, 0.5, True) for d in docs], "doc_id long, text string, score double, held_out boolean"),
+        spark.createDataFrame([*labels, (5, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+    )
+
+
+def test_quality_ranking(spark):
+    docs, labels = labelled(spark)
+    rows = {r.doc_id: r for r in ranking.score_quality(docs, ranking.fit(docs, labels)).collect()}
+    assert len(rows) == 404 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows.values())
+    assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in rows)
+    assert np.mean([rows[i].predicted == int(i % 4 != 0) for i in range(400) if rows[i].held_out]) > 0.95
+    flat = ranking.fit(docs, labels.where("quality = 1"))
+    assert set(flat.weights) == {0.0}
+
+
+def test_toxic_chain(spark):
+    docs, labels = labelled(spark)
+    chain = toxicity.fit(docs, labels)
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(docs, chain).collect()}
+    assert len(rows) == 404 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
+    assert np.mean([rows[i].predicted == int(i % 5 == 1) for i in range(400) if rows[i].held_out]) > 0.95
+    assert rows[903].spans == [[0, 5]] and rows[900].spans == []
+    none = toxicity.fit(docs, labels.limit(0))
+    assert len({r.score for r in toxicity.score_toxicity(docs, none).collect()}) == 1
+
+
+def test_chain_marginals_are_exact():
+    rng = np.random.default_rng(0)
+    weights = np.array([-1.0, 2.0, 0.5])
+    chain = toxicity.Chain({"aa$": 1, "bb$": 2}, weights, np.array([[0, -0.7], [0.3, 0.9]]))
+    for n in (1, 2, 5, 40):
+        ids = rng.integers(0, 3, n)
+        emit = np.exp(np.stack([np.zeros(n), weights[ids]], 1))
+        alpha = [emit[0]]
+        for i in range(1, n):
+            alpha.append(alpha[-1] @ chain.step * emit[i])
+        beta = [np.ones(2)]
+        for i in range(n - 1, 0, -1):
+            beta.append(chain.step @ (emit[i] * beta[-1]))
+        p = np.array([a * b for a, b in zip(alpha, beta[::-1])])
+        places = [i for i in range(n) if ids[i]]
+        if places:
+            want = (p[:, 1] / p.sum(1))[places]
+            assert np.allclose(chain.marginals(places, [weights[ids[i]] for i in places], n), want)
+
+
+def test_pipeline_stages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids, names = {r.doc_id for r in docs.collect()}, docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.written(stage(spark, docs, SF), name)
+        left = {r.doc_id for r in docs.collect()}
+        assert docs.columns == names and left <= ids and len(left) == docs.count() > 100
+        ids = left
+    assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, SF).collect()} == ids
