@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quirespark.plans import costs, folds, joins, progress, quality, text, windows
+from quirespark.plans import costs, folds, joins, progress, quality, text, views, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (progress, text, joins, costs, windows, folds, quality):
+for _module in (progress, text, joins, costs, windows, folds, quality, views):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

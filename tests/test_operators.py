@@ -179,3 +179,28 @@ def test_stream_once_and_sessions(spark, events):
     assert drained(state.once(twice, "event_id", "at"), "once", "append", folder).count() == batch.count()
     sessions = drained(state.hold_sessions(stream, "user_id", "at"), "holds", "complete", folder)
     assert sessions.agg(F.sum("events")).first()[0] == batch.count()
+
+
+def test_markup_repair(spark):
+    from quirespark.functions import markup as mk
+
+    rows = [
+        ("<em_1>a <b_2>b</em_1></b_2> <i_9>c</i_9>", "<em_1>x</em_1><b_2>y</b_2>", "<em_1>a <b_2>b</b_2></em_1> c", [], 4),
+        ("one\ntwo", "one<br_3/>two<img_4/>", "one<br_3/>two<img_4/>", [4], 0),
+        ("5 < 6 & <em_1>x", "<em_1>x</em_1>", "5 &lt; 6 &amp; <em_1>x</em_1>", [], 1),
+        (None, "x", None, None, None),
+    ]
+    df = spark.createDataFrame([(o, s) for o, s, *_ in rows], "o string, s string").select(mk.repair(F.col("o"), F.col("s")).alias("r"))
+    got = [(r.r.markup, r.r.missing, r.r.issues) if r.r else (None, None, None) for r in df.collect()]
+    assert got == [tuple(r[2:]) for r in rows]
+
+
+def test_limits_and_replies(spark):
+    from quirespark.functions import markup as mk
+
+    messages = ["Please try again in 7.66s", "TPD limit: try again in 14m24s", "wait 3600 seconds ByDay", "wait 39 seconds", "busy"]
+    assert values(spark, mk.limit_wait_ms(F.col("v")), messages) == [7660, 864_000, 3_600_000, 39_000, None]
+    assert values(spark, mk.limit_daily(F.col("v")), messages) == [False, True, True, False, False]
+    reply = 'x <think>no</think><seg id=1>a</seg><seg id="2"> b <think>kept</think><seg id="3">c</seg><new_terms>\n- Ana => Anna | character\nbad\n</new_terms>'
+    assert values(spark, mk.reply_segments(F.col("v")), [reply])[0] == [(1, "a"), (2, "b <think>kept</think>"), (3, "c")]
+    assert values(spark, mk.new_terms(F.col("v")), [reply])[0] == [("Ana", "Anna", "character")]
