@@ -47,7 +47,7 @@ PATTERNS = {
     "name_m": rf"(?<=\b(?:{'|'.join(TITLES['m'])})\.? ){_NAME}",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAY = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|\b(?:{'|'.join(TITLES['f'] + TITLES['m'])})\b"
+_MAY = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|[0-9A-Fa-f]{{32}}|\b(?:{'|'.join(TITLES['f'] + TITLES['m'])})\b"
 
 
 def _escaped(text: Column) -> Column:
@@ -192,8 +192,10 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     The same key gives the same surrogates, but where a collision is resolved,
     which depends on the corpus. Texts without entities, null and empty ones stay
     as they are and are not shuffled. Rows that repeat an id get the same
-    surrogates. All columns are kept; a null id is an id like any other.
+    surrogates. All columns are kept, but columns of the added names are
+    replaced; a null id is an id like any other.
     """
+    docs = docs.drop("n_entities", "n_distinct")
     found = written(mentions(docs, id_col, text_col).withColumn("canon", canonical(F.col("kind"), F.col("value"))), "mentions")
     table = distinct_surrogates(found.select("kind", "canon").distinct(), key)
     # equal names of either gender are two entities

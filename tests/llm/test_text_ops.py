@@ -215,3 +215,19 @@ def test_pipeline_stages(spark):
         assert docs.columns == names and left <= ids and len(left) == docs.count() > 100
         ids = left
     assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, docs, SF).collect()} == ids
+
+
+def test_added_names_that_clash(spark):
+    """Columns that bear the names an operator adds are replaced, and the pipeline keeps its input's."""
+    from quirespark.llm import line_dedup
+
+    d = spark.createDataFrame([(1, "call +1 (659) 555-3949 now", "a", "b", 0.1)], "doc_id long, text string, n_entities string, n_dropped string, score double")
+    assert surrogates.replace_pii(d, "k").first().n_entities == 1
+    assert line_dedup.dedup_lines(d).first().n_dropped == 0
+    scored = ranking.score_quality(d, ranking.Ranking((0.0,) * ranking.WIDTH, 0.0, 1.0, 0.0), prefix="q_").first()
+    assert scored.score == 0.1 and abs(scored.q_score - 0.3) < 1e-9
+
+
+def test_hex_secret_without_digit_runs(spark):
+    d = spark.createDataFrame([(1, "key a1b2c3d4e5f6a1b2c3d4e5f6a1b2c3d4e5f6a1b2 end")], "doc_id long, text string")
+    assert "a1b2c3d4e5f6" not in surrogates.replace_pii(d, "k").first().text
