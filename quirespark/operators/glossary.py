@@ -27,20 +27,22 @@ def occurs(text: Column, term: Column) -> Column:
 def matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text") -> DataFrame:
     """(text_id, term, pos, origin, score): terms that a text mentions, 3 for the whole term, 4 if a user wrote it.
 
-    A text can only mention a term whose first word's beginning it has among its
-    words, so words are joined to first words by their stem before any pattern
-    is tried; the pattern then decides. No text meets every term.
+    A mentioned term begins with a whole word of the text, so the texts' distinct
+    words are joined to first words by equality. That decides a term of one word,
+    whose plural forms are keys too; only longer terms are then looked for by a
+    pattern, in the texts that have their first word. No text meets every term.
     """
-    stem = lambda w: F.substring(w, 1, 3)
-    first = F.regexp_extract(folded_term(F.col("term")), r"[\p{L}\p{N}]+", 0)
-    keyed = terms.select("term", "pos", "origin", stem(first).alias("stem")).where("stem <> ''")
-    # a term of one or two letters may have its suffix within the stem
-    words = F.regexp_extract_all(folded_term(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    stems = F.transform(words, lambda w: F.array(stem(w), F.when(F.length(w) <= 4, F.substring(w, 1, 2)), F.when(F.length(w) <= 3, F.substring(w, 1, 1))))
-    words = F.array_compact(F.array_distinct(F.flatten(stems)))
-    pairs = texts.select(text_id, F.explode(words).alias("stem")).join(keyed, "stem").drop("stem")
-    folded = texts.select(text_id, F.col(text).alias("_text"), folded_term(F.col(text)).alias("_folded"))
-    found = pairs.join(folded, text_id).where(occurs(F.col("_text"), F.col("term")) | mentions(F.col("_folded"), F.col("term"), folded=True))
+    run = r"[\p{L}\p{N}]+"
+    folded = folded_term(F.col("term"))
+    first = F.regexp_extract(folded, run, 0)
+    single = folded.rlike(rf"^{run}$")
+    forms = F.when(single, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
+    keyed = terms.where(first != "").select("term", "pos", "origin", single.alias("single"), F.explode(forms).alias("word"))
+    words = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(run), F.lit(0)))).alias("word"))
+    pairs = words.join(keyed, "word").drop("word").distinct()
+    bodies = texts.select(text_id, F.col(text).alias("_text"), folded_term(F.col(text)).alias("_folded"))
+    longer = pairs.where("not single").join(bodies, text_id).where(occurs(F.col("_text"), F.col("term")) | mentions(F.col("_folded"), F.col("term"), folded=True))
+    found = pairs.where("single").unionByName(longer.select(*pairs.columns))
     return found.select(text_id, "term", "pos", "origin", (F.lit(3) + (F.col("origin") == "user").cast("int")).cast("long").alias("score"))
 
 
