@@ -46,7 +46,7 @@ def asof_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary: the first word of each benchmark item and of each line of the first documents, numbered."""
+    """Glossary: the first word of each benchmark item, by the first item that has it."""
     first = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"[\p{L}]{3,}", 0).alias("term"), F.col("item_id").alias("pos"))
     once = first.where("term <> ''").groupBy("term").agg(F.min("pos").alias("pos"))
     return once.withColumn("origin", F.when(F.col("pos") % 4 == 0, "user").otherwise("auto"))
