@@ -100,14 +100,15 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text: str = "text",
-    block_chars: int = 32_000_000,
+    block_chars: int = 2_000_000,
 ) -> DataFrame:
     """(id, n_words, n_hit, spans, items): what of each text lies in occurrences of benchmark windows.
 
     Whole texts are searched. The benchmark is measured first; up to
     ``block_chars`` characters of it make one set of tables that is sent to all
-    tasks, and a larger one is searched in several such blocks, whose spans are
-    then united for each document. Null texts have no words; null item texts no
+    tasks (tables of 2,000,000 characters take about 300 MB in a Python worker),
+    and a larger one is searched in several such blocks, whose spans are then
+    united for each document. Null texts have no words; null item texts no
     windows. Items with equal windows all count. Repeated ids stay separate rows
     when the benchmark fits one block, and are told apart by row number within
     their file partition otherwise. Only the named columns are read.

@@ -151,3 +151,12 @@ def test_line_dedup(spark, edits):
     for i, t in data:
         if i is not None and t:
             assert cut[i].text == "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in want)
+
+
+def test_line_dedup_shared_halves(spark):
+    """Very many lines with one first half, of which few are near."""
+    head = "licensed under the terms of the public"
+    data = [(i, f"{head} licence number {i} of year {i * 7} only") for i in range(300)]
+    data += [(1000, f"{head} licence number 17 of year 119 only"), (1001, f"{head} licence number 18 of year x only"), (1002, f"{head} licence of year 133 only")]
+    got = {(r.doc, r.first_doc) for r in line_dedup.duplicate_lines(make(spark, data)).collect()}
+    assert got == {(1000, 17), (1001, 18)}
