@@ -1,7 +1,8 @@
-"""EPUB books as tables, and a minimal writer."""
+"""EPUB books as tables (S2 to S10), and a minimal writer."""
 
 from __future__ import annotations
 
+import codecs
 import io
 import posixpath
 import re
@@ -20,11 +21,23 @@ MOST_ENTRIES, MOST_BYTES = 20_000, 600 * 1024 * 1024
 
 
 def format_of(content: Column) -> Column:
-    """epub or pdf by the first bytes, else null."""
+    """epub or pdf by the first bytes, else null."""
     head = F.hex(F.substring(content, 1, 1024))
     return F.when(F.substring(F.hex(content), 1, 8) == "504B0304", "epub").when(F.contains(head, F.lit("255044462D")), "pdf")
 
 
+def decoded_xml(data: bytes) -> str:
+    """Text by its byte order mark, else its declared encoding, else UTF-8; bytes that don't fit are replaced."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if data.startswith(mark):
+            return data.decode(name, "replace")
+    declared = re.match(rb"\s*<\?xml[^>]*\bencoding\s*=\s*[\"']([\w.:-]+)", data[:400])
+    try:
+        return data.decode(declared[1].decode("ascii") if declared else "utf-8", "replace")
+    except LookupError:  # an encoding that Python doesn't know
+        return data.decode("utf-8", "replace")
+
+
 def _local(root, name):
     return [e for e in root.iter() if e.tag.rpartition("}")[2] == name]
 
@@ -56,7 +69,7 @@ def _spine(data: bytes):
             item = manifest.get(ref.get("idref"))
             if item is not None and re.search(r"x?html", (item.get("media-type") or "") + item.get("href")):
                 path = at(item.get("href"))
-                yield path, read(path).decode("utf-8-sig", "replace"), labels.get(path)
+                yield path, decoded_xml(read(path)), labels.get(path)
 
 
 def read_epubs(spark: SparkSession, path: str) -> DataFrame:

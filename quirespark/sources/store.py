@@ -1,4 +1,4 @@
-"""Keyed document tables: latest version, upsert by rewrite, content-addressed caches."""
+"""Keyed document tables: scans (S13, S15, S31), latest version (S16), upsert by rewrite (S17 to S19), content-addressed caches."""
 
 from __future__ import annotations
 
