@@ -160,3 +160,34 @@ def test_line_dedup_shared_halves(spark):
     data += [(1000, f"{head} licence number 17 of year 119 only"), (1001, f"{head} licence number 18 of year x only"), (1002, f"{head} licence of year 133 only")]
     got = {(r.doc, r.first_doc) for r in line_dedup.duplicate_lines(make(spark, data)).collect()}
     assert got == {(1000, 17), (1001, 18)}
+
+
+def test_line_dedup_bound_grows(spark):
+    """Long lines may differ by a word in 20, wherever the edits are; brute force over all pairs."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    lines = []
+    for n in (37, 38, 39, 40, 41, 59, 60, 61, 80, 119, 120, 300):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        lines.append(base)
+        for edits in range(1, n // 20 + 3):
+            line, step = list(base), n / (edits + 1)
+            for e in range(edits, 0, -1):  # spread evenly, which leaves the shortest common runs
+                at = int(e * step)
+                rng.choice([lambda: line.pop(at), lambda: line.insert(at, "new"), lambda: line.__setitem__(at, "other")])()
+            lines.append(line)
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    lines += [[rng.choice(vocabulary) for _ in range(25)] + passage + [rng.choice(vocabulary) for _ in range(5)] for _ in range(20)]
+    near = list(lines[-3])
+    near[2], near[58] = "x", "y"
+    lines.append(near)  # the lines before it with the passage are not near
+    rng.shuffle(lines)
+    want = {}
+    for k, w in enumerate(lines):
+        for j, v in enumerate(lines[:k]):
+            most = max(len(w), len(v))
+            if edit_distance(w, v) <= max(1, most // 20):
+                want[k] = j
+                break
+    got = {r.doc: r.first_doc for r in line_dedup.duplicate_lines(make(spark, [(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
+    assert got == want and len(want) > 30
