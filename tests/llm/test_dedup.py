@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 import xxhash
 
-from quirespark.llm import content_sort, graph, line_dedup, simhash
+from quirespark.llm import content_sort, graph, line_dedup, registry, simhash
 
 DOCS = "doc_id long, text string, id long, hash string, content string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -191,3 +191,21 @@ def test_line_dedup_bound_grows(spark):
                 break
     got = {r.doc: r.first_doc for r in line_dedup.duplicate_lines(make(spark, [(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
     assert got == want and len(want) > 30
+
+
+def test_line_dedup_short_lines(spark):
+    """Equal lines of every length are found, near ones only from 5 words on; letters of unspaced scripts are words."""
+    texts = ["Share this", "Share  this\n\n", "Share that", "版权所有不得转载", "版权所有不得转載", "版权", "版权", "one two three four five", "one two three four six", ""]
+    docs = make(spark, list(enumerate(texts)))
+    got = {(r.doc, r.line_no, r.first_doc) for r in line_dedup.duplicate_lines(docs, short_lines=True).collect()}
+    assert got == {(1, 0, 0), (4, 0, 3), (6, 0, 5), (8, 0, 7)}
+    cut = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, short_lines=True).collect()}
+    assert cut[1] == "\n" and cut[2] == "Share that" and cut[6] == ""
+    query = registry.op9_line_dedup(spark, "/root/testdata/sf0.001")
+    lines = line_dedup.split_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    words = [(r.doc, r.line_no, tuple(r.line.split())) for r in lines.collect() if r.line.isascii()]
+    first = {}
+    for i, n, w in sorted(words):
+        first.setdefault(w, (i, n))
+    short = {(i, n) for i, n, w in words if 0 < len(w) < 5 and first[w] < (i, n)}
+    assert short and short <= {(r[0], r[1]) for r in query.collect()}
