@@ -40,14 +40,18 @@ PATTERNS = {
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
     "phone": rf"\+\d{{1,3}}{_GAP}{{0,6}}\d{{2,4}}{_GAP}{{1,6}}\d{{3,4}}{_GAP}{{0,6}}\d{{4}}(?!\d)"
-    r"|(?<![\p{L}\p{N}])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?!\d)",
+    # any other international number of 8 to 15 digits, with single separators and brackets
+    r"|\+\d(?:[ .\-/  ‐-―]?\(?\d\)?){7,14}(?!\d)"
+    r"|(?<![\p{L}\p{N}])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\d)"
+    r"|(?<![\p{L}\p{N}])(?:0[1-9](?:[ .-]\d{2}){4}|0\d{2,4} \d{3,4} \d{3,4})(?!\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?!\d)",
     "name_f": rf"(?<=\b(?:{'|'.join(TITLES['f'])})\.? ){_NAME}",
     "name_m": rf"(?<=\b(?:{'|'.join(TITLES['m'])})\.? ){_NAME}",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAY = rf"[0-9]{{3}}|[0-9]\.[0-9]|@|[0-9A-Fa-f]{{32}}|\b(?:{'|'.join(TITLES['f'] + TITLES['m'])})\b"
+#: What any match of the patterns holds: two digits with at most three other characters between them, an @, hex digits or a title.
+_MAY = rf"[0-9][^0-9\n]{{0,3}}[0-9]|@|[0-9A-Fa-f]{{32}}|\b(?:{'|'.join(TITLES['f'] + TITLES['m'])})\b"
 
 
 def _escaped(text: Column) -> Column:

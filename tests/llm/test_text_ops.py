@@ -231,3 +231,13 @@ def test_added_names_that_clash(spark):
 def test_hex_secret_without_digit_runs(spark):
     d = spark.createDataFrame([(1, "key a1b2c3d4e5f6a1b2c3d4e5f6a1b2c3d4e5f6a1b2 end")], "doc_id long, text string")
     assert "a1b2c3d4e5f6" not in surrogates.replace_pii(d, "k").first().text
+
+
+@pytest.mark.parametrize("number", ["+14155552671", "+33 1 23 45 67 89", "+44 (0)20 7946 0958", "415 555 2671", "(415) 555 2671", "01 23 45 67 89", "12 34 56 78 90 12 34", "1 2 3 4 5 6 7 8 9 0 1 2 3"])
+def test_surrogates_usual_layouts(spark, number):
+    """Alone in a text, so that no other entity lets it pass the search before the patterns."""
+    docs = spark.createDataFrame([(1, f"call {number} now"), (2, "on 05.06.2023, 1 200 300 of 10 000")], "doc_id long, text string")
+    found = {r.doc_id: r for r in surrogates.replace_pii(docs, "k").collect()}
+    assert found[1].n_entities == 1 and number not in found[1].text
+    assert re.sub(r"\d", "9", found[1].text) == re.sub(r"\d", "9", f"call {number} now")
+    assert found[2].n_entities == 0 and found[2].text == "on 05.06.2023, 1 200 300 of 10 000"
