@@ -30,7 +30,7 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1, Q3 to Q7, Q16: the whole chain with its warnings (look-behind patterns: no RE2 form)."""
+    """Q1, Q3 to Q7, Q16: the chain without wrong-language, with its warnings (look-behind patterns: no RE2 form)."""
     p = _pairs(spark, sf_dir)
     return p.select("conv_id", "turn", F.coalesce(qa.verdict(F.col("src"), F.col("out"), F.lit("pt-BR")), F.lit("ok")).alias("verdict"), F.array_join(qa.warnings(F.col("src"), F.col("out")), ",").alias("warnings"))
 
