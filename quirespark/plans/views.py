@@ -89,7 +89,7 @@ def limit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repaired_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """crossing and unknown markers of turns repaired."""
     src = F.concat(F.lit("<em_1>a</em_1> <b_2>b</b_2><br_3/>"), "text")
-    out = F.concat(F.lit("<em_1>x <b_2>y</em_1></b_2> <i_9>z</i_9>\n"), F.substring_index("text", "\n", 1))
+    out = F.concat(F.lit("<em_1>x <b_2>y</em_1></b_2> <i_9>z</i_9>\n"), "text")
     fixed = mk.repair(out, src)
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", fixed.alias("f"))
     return t.select("conv_id", "turn", F.md5("f.markup").alias("markup_md5"), F.array_join("f.missing", ",").alias("missing"), F.col("f.issues").cast("long").alias("issues"))
