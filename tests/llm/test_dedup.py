@@ -137,11 +137,11 @@ def test_line_dedup(spark, edits):
         data.append((i, "\n".join(text)))
     data += [(50, None), (51, ""), (None, "alpha beta gamma delta epsilon")]
     order = sorted((i, n, x.split()) for i, t in data if i is not None for n, x in enumerate((t or "").split("\n")))
-    order = [o for o in order if len(o[2]) >= 5]
+    order = [o for o in order if o[2]]
     want = {}
     for k, (i, n, w) in enumerate(order):
         for j, m, v in order[:k]:
-            if edit_distance(w, v) <= edits:
+            if edit_distance(w, v) <= (edits if min(len(w), len(v)) >= 5 else 0):
                 want[i, n] = (j, m)
                 break
     got = {(r.doc, r.line_no): (r.first_doc, r.first_line) for r in line_dedup.duplicate_lines(make(spark, data), max_edits=edits).collect()}
@@ -197,9 +197,9 @@ def test_line_dedup_short_lines(spark):
     """Equal lines of every length are found, near ones only from 5 words on; letters of unspaced scripts are words."""
     texts = ["Share this", "Share  this\n\n", "Share that", "版权所有不得转载", "版权所有不得转載", "版权", "版权", "one two three four five", "one two three four six", ""]
     docs = make(spark, list(enumerate(texts)))
-    got = {(r.doc, r.line_no, r.first_doc) for r in line_dedup.duplicate_lines(docs, short_lines=True).collect()}
+    got = {(r.doc, r.line_no, r.first_doc) for r in line_dedup.duplicate_lines(docs).collect()}
     assert got == {(1, 0, 0), (4, 0, 3), (6, 0, 5), (8, 0, 7)}
-    cut = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, short_lines=True).collect()}
+    cut = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
     assert cut[1] == "\n" and cut[2] == "Share that" and cut[6] == ""
     query = registry.op9_line_dedup(spark, "/root/testdata/sf0.001")
     lines = line_dedup.split_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
@@ -209,3 +209,20 @@ def test_line_dedup_short_lines(spark):
         first.setdefault(w, (i, n))
     short = {(i, n) for i, n, w in words if 0 < len(w) < 5 and first[w] < (i, n)}
     assert short and short <= {(r[0], r[1]) for r in query.collect()}
+
+
+def test_line_dedup_repeated_ids(spark):
+    """Rows that repeat an id keep the lines that occur nowhere else."""
+    data = [(1, "a b c d e"), (2, "a b c d e\nk l m n o"), (2, "unique line of row two\nsome further words stand alone here"), (2, "a b c d e\nk l m n o")]
+    cut = sorted((r.doc_id, r.text, r.n_dropped) for r in line_dedup.dedup_lines(make(spark, data)).collect())
+    assert cut == sorted([(1, "a b c d e", 0), (2, "k l m n o", 1), (2, "unique line of row two\nsome further words stand alone here", 0), (2, "k l m n o", 1)])
+
+
+def test_line_dedup_very_long_lines(spark):
+    """A line of very many words is linear work."""
+    words = [f"w{i % 997}x{i % 1009}" for i in range(200_000)]
+    other = list(words)
+    for at in range(100, 200_000, 5000):
+        other[at] = "changed"
+    got = line_dedup.duplicate_lines(make(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))])).collect()
+    assert [(r.doc, r.first_doc) for r in got] == [(2, 1)]
