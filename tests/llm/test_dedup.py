@@ -226,3 +226,42 @@ def test_line_dedup_very_long_lines(spark):
         other[at] = "changed"
     got = line_dedup.duplicate_lines(make(spark, [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))])).collect()
     assert [(r.doc, r.first_doc) for r in got] == [(2, 1)]
+
+
+def test_near_duplicates(spark):
+    """Groups of texts with a five-word shingle similarity of 0.8 or more, against all pairs."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    for n in (5, 9, 14, 30, 60, 120, 300, 800):
+        for _ in range(3):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            if rng.random() < 0.5:
+                base[n // 2 : n // 2] = passage
+            texts.append(base)
+            for _ in range(4):
+                other = list(base)
+                for _ in range(rng.randint(0, max(1, len(base) // 30))):
+                    at = rng.randrange(len(other))
+                    rng.choice([lambda: other.pop(at), lambda: other.insert(at, "new"), lambda: other.__setitem__(at, "other")])()
+                texts.append(other)
+    texts += [texts[10], texts[20], [], [], ["a"], ["A"]]
+    rng.shuffle(texts)
+    data = [*enumerate(" ".join(t) for t in texts), (5000, None), (None, "alone in the world"), (5000, " ".join(texts[3])), (None, " ".join(texts[4]))]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in data]
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    comp = components(range(len(data)), lambda a, b: like(sets[a], sets[b]))
+    group = defaultdict(list)
+    for k, (i, _) in enumerate(data):
+        group[comp[k]].append((i is None, i))
+    want = sorted(str((i, min(group[comp[k]])[1])) for k, (i, _) in enumerate(data))
+    found = simhash.near_duplicates(make(spark, data)).collect()
+    assert sorted(str((r.doc_id, r.group_id)) for r in found) == want
+    assert sum(r.kept for r in found) == len(group)
+    assert simhash.near_duplicates(make(spark, [])).count() == 0
