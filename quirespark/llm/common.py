@@ -9,33 +9,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Application folders made by this process.
+_OURS: set[str] = set()
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none (local tests) a temporary one is made.
+    Only where a local session has none, as in tests, a temporary one is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    return f"{work_folder(spark)}/quire-{tag}-{uuid.uuid4().hex}"
+    """A new folder for one table, inside the application's own, which is deleted when the application ends."""
+    ours = f"{work_folder(spark)}/quire-{spark.sparkContext.applicationId}"
+    if ours not in _OURS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(ours)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _OURS.add(ours)
+    return f"{ours}/{tag}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Few rows for each Arrow batch, since a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> None:
+    """Bounds Arrow batches by bytes, as a row may hold a very long text.
+
+    The setting is only ever lowered, so that it holds whenever a plan is made.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name)) > most_bytes:
+        spark.conf.set(name, str(most_bytes))
 
 
 def held_out(doc_id: Column) -> Column:
