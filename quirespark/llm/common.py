@@ -47,14 +47,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> None:
-    """Bounds Arrow batches by bytes, as a row may hold a very long text.
-
-    The setting is only ever lowered, so that it holds whenever a plan is made.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name)) > most_bytes:
-        spark.conf.set(name, str(most_bytes))
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as a row may hold a very long text; one bound for all operators, whenever a plan is made."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def held_out(doc_id: Column) -> Column:

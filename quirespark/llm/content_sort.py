@@ -4,7 +4,9 @@ Spark samples splitters and range-partitions the rows by their bytes, an
 external sort within each range places equal texts side by side, and full
 comparisons of neighbours cut the order into runs. The row identifier is the
 last sort key, so a run of any size may span ranges: pieces that touch the edge
-of a range are joined again by their text, of which each range has two at most.
+of a range are joined again by their text, of which each range has two at most. A
+run of more than ``MOST`` rows is given in pieces that are joined in the same way,
+so that no row and no task holds all of a large group.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.common import small_batches, written
 
+#: Identifiers of one piece, but for those of one more batch.
+MOST = 4096
 _RUNS = "text_sha256 string, ids array<long>, edge string"
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], most: int = MOST) -> Iterator[pa.RecordBatch]:
     """Runs of equal neighbours in one sorted range: identifiers in order; the text where the run touches an edge.
 
-    The open run's text is compared in full with each next batch; memory is a batch and the identifiers of one run.
+    The open run's text is compared in full with each next batch; memory is a batch and the identifiers of one piece.
     """
-    text, sha, ids, first = None, None, [], True
+    text, sha, ids, first, cut = None, None, [], True, False
 
     def emit(rows):
         return pa.RecordBatch.from_arrays(
@@ -53,15 +57,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = starts[0] if len(starts) else n
         if head:
             ids += keys[:head]
+            if len(ids) >= most:
+                rows.append((sha, ids, text))
+                ids, cut = [], True
         for k, s in enumerate(starts):
-            if text is not None:
-                rows.append((sha, ids, text if first else None))
-                first = False
+            if sha is not None:
+                if ids:
+                    rows.append((sha, ids, text if first or cut else None))
+                first = cut = False
             e = starts[k + 1] if k + 1 < len(starts) else n
-            text, sha, ids = (texts[int(s)].as_py() if k + 1 == len(starts) or first else ""), shas[int(s)].as_py(), keys[s:e]
+            text, sha, ids = (texts[int(s)].as_py() if k + 1 == len(starts) or first else None), shas[int(s)].as_py(), keys[s:e]
         if rows:
             yield emit(rows)
-    if text is not None:
+    if ids:
         yield emit([(sha, ids, text)])
 
 
@@ -84,7 +92,7 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | N
         docs.select(F.col(id_col).cast("long").alias("id"), text.alias("content"))
         .select("id", "content", F.sha2("content", 256).alias("text_sha256"))
         .repartitionByRange(F.substring("content", 1, 24), "text_sha256", order)
-        .sortWithinPartitions(F.substring("content", 1, 24), "text_sha256", "content", order)
+        .sortWithinPartitions("content", order)
     )
     runs = written(ranged.mapInArrow(_runs, _RUNS), "runs")
     first = F.col("ids")[0]

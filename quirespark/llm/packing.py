@@ -40,14 +40,25 @@ class _Known(dict):
 class WordCache:
     """Token ids, as little-endian bytes, of texts cut at spaces and line feeds.
 
-    The tokenizer drops white space and never merges across it, so the ids of a
-    text are those of its parts, each of which is encoded once for many uses. A
+    A tokenizer with the stages ``LAYOUT`` drops white space and never merges across
+    it, so the ids of a text are those of its parts, each of which is encoded once
+    for many uses; any other tokenizer gets whole texts. A
     part of letters with punctuation behind it has the ids of both; a word of
     letters in lower case goes to the merges at once, as none of the tokenizer's
     normalisers changes it further. Anything else takes the whole tokenizer.
     """
 
     #: ASCII punctuation but the apostrophe, with which contractions begin.
+    LAYOUT = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    }
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, most: int = 300_000):
@@ -62,8 +73,8 @@ class WordCache:
         self.signs = str.maketrans(signs)
         self.plain = set("abcdefghijklmnopqrstuvwxyz") | set(signs)
         with open(path) as f:
-            kinds = str(json.load(f).get("pre_tokenizer"))
-        self.by_word = "Split" in kinds and "\\p{L}" in kinds  # letters are a word of their own
+            stated = json.load(f)
+        self.by_word = {k: stated.get(k) for k in self.LAYOUT} == self.LAYOUT
         self.parts = _Known(self._part, most)
         self.words = _Known(self._word, most)
 
@@ -71,19 +82,21 @@ class WordCache:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if self.by_word and word and self.plain.issuperset(word):
+        if word and self.plain.issuperset(word):
             return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(self.signs))], "<u4").tobytes()
         return self._encode(word) if word else b""
 
     def _part(self, part: str) -> bytes:
         core = part.rstrip(self.MARKS)
-        if self.by_word and core.isalpha():
+        if core.isalpha():
             low = core.lower()
             if self.plain.issuperset(low):
                 return self.words[low] + self.words[part[len(core) :]]
         return self._encode(part) if part else b""
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return self._encode(text or "")
         return b"".join(map(self.parts.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
 
@@ -112,7 +125,7 @@ def pack(
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _CACHES.get(tokenizer) or _CACHES.setdefault(tokenizer, WordCache(tokenizer))

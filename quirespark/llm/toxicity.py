@@ -1,8 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Words and word beginnings that are far more frequent in documents marked toxic
-label the tokens of those documents; a chain over two states (clean, toxic) is fitted to labelled
-sentences by its exact log-likelihood. In a document, forward-backward
+Labels are per document, so a toxic document's tokens are labelled from it: words
+and word beginnings that are far more frequent in documents marked toxic, and what
+stands between two of them. A chain over two states (clean, toxic) is fitted to
+labelled sentences by its exact log-likelihood; its features are those words, words
+as typical of clean documents, and the shape of the others (shouted or not). In a document, forward-backward
 marginals of the tokens give the offending offsets and, over the document, its
 score. Tokens outside the field's vocabulary all have the same potential, so a
 run of them is one power of a 2 x 2 matrix: the marginals stay exact and cost
@@ -28,8 +30,17 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (8, 7, 6, 5, 4, 3)
 
 
+#: The feature of a shouted word that has none of its own, and tokens between two toxic ones that are labelled with them.
+SHOUTED, BETWEEN = "^", 2
+
+
+def tokens_of(text: str) -> list[str]:
+    """The words of a text, with lower-case letters unless shouted: four or more letters, all of them capitals."""
+    return [w if len(w) > 3 and w.isupper() and w.isalpha() else w.lower() for w in _WORD.findall(text)]
+
+
 class Features(dict):
-    """Each word's feature: itself (ending in $) or else its longest beginning that is known; 0 for none. A bounded cache."""
+    """Each word's feature: itself (ending in $) or else its longest beginning that is known, else its shape; 0 for none. A bounded cache."""
 
     def __init__(self, known: dict[str, int], most: int = 400_000):
         super().__init__()
@@ -38,8 +49,10 @@ class Features(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        known = self.known
-        got = known.get(word + "$", 0) or next((i for n in BEGINNINGS if (i := known.get(word[:n], 0))), 0)
+        known, low = self.known, word.lower()
+        got = known.get(low + "$", 0) or next((i for n in BEGINNINGS if (i := known.get(low[:n], 0))), 0)
+        if not got and low != word:
+            got = known.get(SHOUTED, 0)
         self[word] = got
         return got
 
@@ -142,7 +155,7 @@ class Chain:
 
     def tag(self, text: str | None, at: float = 0.5) -> tuple[float, float, list[tuple[int, int]]]:
         """(largest marginal, expected toxic tokens, spans of marginals of ``at`` or more) over the vocabulary's tokens."""
-        found = list(map(self.feature.__getitem__, _WORD.findall((text or "").lower())))
+        found = list(map(self.feature.__getitem__, tokens_of(text or "")))
         places = [i for i, f in enumerate(found) if f] if any(found) else []
         if not places:
             return 0.0, 0.0, []
@@ -156,6 +169,16 @@ class Chain:
         return float(1 / (1 + np.exp(-(a + b * top + c * np.log1p(total)))))
 
 
+def tags_of(toxic: np.ndarray) -> np.ndarray:
+    """Toxic tokens of each row, and up to ``BETWEEN`` tokens between two of them."""
+    tags = toxic.copy()
+    for gap in range(1, BETWEEN + 1):
+        both = toxic[:, : -gap - 1] & toxic[:, gap + 1 :]
+        for k in range(1, gap + 1):
+            tags[:, k : k + both.shape[1]] |= both
+    return tags.astype(int)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     """Newton's method on the penalised logistic loss, with an intercept first."""
     x = np.c_[np.ones(len(x)), x]
@@ -174,28 +197,27 @@ def fit(
     most: int = 8_000,
     most_sentences: int = 6_000,
     longest: int = 64,
-    min_share: float = 0.02,
+    min_share: float = 0.005,
     min_odds: float = 3.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Chain:
     """Learns from at most ``most`` labelled rows outside the test fold.
 
-    The vocabulary is every word or beginning in at least ``min_share`` of the
-    toxic texts whose log odds against clean ones are ``min_odds`` or more; equal
-    texts count once. The chain is fitted to at most ``most_sentences`` sentences of
+    The vocabulary is every word or beginning in at least ``min_share`` of the toxic
+    texts (4 at least) whose log odds against clean ones are ``min_odds`` or more,
+    and those in as large a share of the clean ones whose odds are as low; equal
+    texts count once, as toxic if any is. The sample bounds it. The chain is fitted to at most ``most_sentences`` sentences of
     ``longest`` tokens, first those with a word of the vocabulary, in hash order.
     Without both labels the vocabulary is empty and every score is the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
     chosen = training_labels(labels, label, most, id_col)
-    sample = written(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(F.broadcast(chosen), "id")  # at most ``most`` rows
-        .dropDuplicates(["text"]),
-        "toxic",
-    )
+    known = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")  # at most ``most`` ids
+    # of rows that repeat an id one text counts, of equal texts the toxic label
+    once = known.groupBy("id", "label").agg(F.min("text").alias("text"))
+    sample = written(once.groupBy("text").agg(F.min("id").alias("id"), F.max("label").alias("label")), "toxic")
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Chain({}, np.zeros(1), np.zeros((2, 2)), (float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))), 0.0, 0.0))
@@ -203,18 +225,20 @@ def fit(
     parts = F.transform(words, lambda w: F.array(F.concat(w, F.lit("$")), *(F.substring(w, 1, n) for n in BEGINNINGS)))
     words = sample.select("label", F.explode(F.array_distinct(F.flatten(parts))).alias("word"))
     odds = words.groupBy("word").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("c"))
-    odds = odds.where(F.col("t") >= max(2, min_share * n[1])).withColumn("odds", F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1)))
-    # the strongest 5,000
-    lexicon = [r["word"] for r in odds.where(F.col("odds") >= min_odds).orderBy(F.desc("odds"), "word").limit(5000).collect()]
-    place = {w: i + 1 for i, w in enumerate(lexicon)}  # 0: any other word
+    often = (F.col("t") >= max(4, min_share * n[1])) | (F.col("c") >= max(4, min_share * n[0]))
+    odds = odds.where(often).withColumn("odds", F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1)))
+    strong = odds.where((F.col("odds") >= min_odds) & (F.col("t") >= max(4, min_share * n[1])) | (F.col("odds") <= -min_odds))
+    lexicon = [(r["word"], r["odds"] > 0) for r in strong.orderBy(F.desc("odds"), "word").collect()]  # words of a bounded sample
+    place = {w: i + 1 for i, (w, _) in enumerate(lexicon)} | {SHOUTED: len(lexicon) + 1}  # 0: any other word
+    marks = np.array([False, *(toxic for _, toxic in lexicon), False])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature = Features(place)
         for batch in batches:
             rows = []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for s in _SENTENCE.findall(text.lower()):
-                    ids = [feature[w] for w in _WORD.findall(s)]
+                for s in _SENTENCE.findall(text):
+                    ids = [feature[w] for w in tokens_of(s)]
                     rows += [(y, part) for k in range(0, len(ids), longest) if (part := ids[k : k + longest])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["label", "ids"]
@@ -227,8 +251,8 @@ def fit(
     lengths = np.array([len(r["ids"]) for r in taken])
     for i, r in enumerate(taken):
         tokens[i, : lengths[i]] = r["ids"]
-    tags = ((tokens > 0) & (np.array([r["label"] for r in taken]) == 1)[:, None]).astype(int)
-    weights, transitions = fit_chain(tokens, tags, lengths, len(lexicon) + 1)
+    tags = tags_of(marks[tokens] & (np.array([r["label"] for r in taken]) == 1)[:, None])
+    weights, transitions = fit_chain(tokens, tags, lengths, len(place) + 1)
     chain = Chain(place, weights, transitions)
     got = tagged(sample, chain, "id", "text").select("label", "top", "total").collect()  # at most ``most`` rows of numbers
     x = np.array([[r["top"], np.log1p(r["total"])] for r in got])

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import lower_ascii
 from quirespark.llm.graph import connected_components
 
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_LINK = r"(?is)<link\b[^>]*>"
+_CANONICAL = r"""(?is)\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?:[\s/>]|$))"""
+_META = r"(?is)<meta\b[^>]*>"
+_REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_HREF = r"""(?is)\bhref\s*=\s*(?:"\s*([^"]*?)\s*"|'\s*([^']*?)\s*'|([^\s>"']+))"""
 _GOTO = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -30,36 +32,62 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def without_fragment(url: Column) -> Column:
-    """What is asked of the server: a fragment never is."""
-    return F.substring_index(url, "#", 1)
+def _without_dots(path: Column) -> Column:
+    """A path with ``.`` and ``..`` taken out; most paths have neither and stay."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, tail).otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), clean).otherwise(path)
+
+
+def resource(url: Column) -> Column:
+    """What a url names: scheme and host in lower case, no dot segments, at least ``/`` as path, no fragment."""
+    path = F.when(path_of(url) == "", "/").otherwise(_without_dots(path_of(url)))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    return F.concat(lower_ascii(F.substring_index(url, "://", 1)), F.lit("://"), host_of(url), path, query)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that a reference on the page ``base`` means, by RFC 3986; null for other schemes and the page itself."""
+    path = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    root = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)[^/]*$", 1)
+    return (
+        F.when(to.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), F.when(to.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), to))
+        .when(to.startswith("//"), F.concat(F.substring_index(base, "://", 1), F.lit(":"), to))
+        .when(to.startswith("/"), F.concat(root, to))
+        .when(to.startswith("?"), F.concat(root, path, to))
+        .when((to == "") | to.startswith("#"), None)
+        .otherwise(F.concat(root, folder, to))
+    )
 
 
 def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) redirect and canonical-link edges that the pages' html states.
+    """(src, dst) redirect and canonical-link edges that the pages' html states, between resources.
 
-    The first ``link rel=canonical`` and the first ``meta refresh`` of a page
-    count. Targets may be absolute, scheme-relative, root-relative or relative.
+    Every ``link`` whose rel has the word canonical and every ``meta refresh`` of a
+    page count. References may be of any form of RFC 3986.
     """
-    html, src = F.coalesce(F.col(html_col), F.lit("")), without_fragment(F.col(url_col))
-    canonical = F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, _META, 0), _GOTO, 1)
-    root = F.regexp_extract("src", r"(?s)^.*?://[^/?#]*", 0)
-    folder = F.regexp_extract("src", r"(?s)^.*?://[^/?#]*(?:[^?#]*/)?", 0)
-    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    dst = (
-        F.when(to.contains("://"), to)
-        .when(to.startswith("//"), F.concat(F.substring_index("src", "//", 1), to))
-        .when(to.startswith("/"), F.concat(root, to))
-        .otherwise(F.concat(folder, F.when(folder.endswith("/"), F.lit("")).otherwise(F.lit("/")), to))
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    tags = lambda tag, test: F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(test))
+    href = lambda t: F.concat(*(F.regexp_extract(t, _HREF, g) for g in (1, 2, 3)))
+    to = F.concat(
+        F.transform(tags(_LINK, _CANONICAL), href),
+        F.transform(tags(_META, _REFRESH), lambda t: F.regexp_extract(t, _GOTO, 1)),
     )
     # most pages state neither; the cheap test keeps the patterns off them
     lowered = F.lower(html)
     return (
         pages.where(F.col(url_col).contains("://") & (lowered.contains("canonical") | lowered.contains("http-equiv")))
-        .select(src.alias("src"), F.explode(F.array(canonical, refresh)).alias("to"))
-        .where("to <> ''")
-        .select("src", without_fragment(dst).alias("dst"))
+        .select(F.col(url_col).alias("base"), F.explode(to).alias("to"))
+        .select("base", resolved(F.col("base"), F.replace("to", F.lit("&amp;"), F.lit("&"))).alias("dst"))
+        .where("dst is not null")
+        .select(resource(F.col("base")).alias("src"), resource(F.col("dst")).alias("dst"))
     )
 
 
@@ -83,13 +111,14 @@ def judge_urls(
     the plan; ``edges`` (src, dst) are redirect and canonical links between urls
     (default: those stated in the pages' html). The verdict is the rule's; else
     allow if the url's component has an explicitly allowed url; else block if it
-    has a blocked one; else allow. Null urls and urls without ``://`` have empty
+    has a blocked one; else allow. Urls of one resource (host in another case, dot
+    segments, a fragment) are one node. Null urls and urls without ``://`` have empty
     host and path and belong to no component. Repeated urls and rows are judged
     alike; other columns are not read.
     """
     if any(action not in ("allow", "block") for action, _, _ in rules):
         raise ValueError("a rule allows or blocks")
-    edges = links_of(pages, url_col) if edges is None else edges.select(*(without_fragment(F.col(c)).alias(c) for c in ("src", "dst")))
+    edges = links_of(pages, url_col) if edges is None else edges.where(F.col("src").contains("://") & F.col("dst").contains("://")).select(*(resource(F.col(c)).alias(c) for c in ("src", "dst")))
     members = connected_components(edges, "src", "dst")
     own = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
     verdicts = members.groupBy("component").agg(
@@ -100,7 +129,7 @@ def judge_urls(
     spread = members.join(verdicts.where("spread is not null"), "component").select("node", "spread")
     judged = (
         pages.select(F.col(id_col), F.col(url_col).alias("_url"))
-        .select(id_col, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), without_fragment(F.col("_url")).alias("node"))
+        .select(id_col, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), F.when(F.col("_url").contains("://"), resource(F.col("_url"))).alias("node"))
         .withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     )
     return judged.join(spread, "node", "left").select(

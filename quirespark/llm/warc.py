@@ -35,25 +35,26 @@ def numbered(pages: DataFrame) -> DataFrame:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """(row, record_id, url, bytes, sha1, record_type, refers_to) of each row of ``numbered`` pages.
+    """(row, record_id, url, bytes, sha1, record_type, refers_to, refers_row) of each row of ``numbered`` pages.
 
     Of records with equal payloads of at least ``least_bytes`` the one with the
     largest id is the response and the others revisit it. Equal means equal
-    SHA-256, SHA-1 and length. Null payloads and urls are empty; a null id is -1;
-    rows that repeat the kept id and its payload are all responses.
+    SHA-256, SHA-1 and length. Null payloads and urls are empty; a null id comes
+    before all others; rows that repeat the kept id and its payload are all
+    responses. Row numbers make the archives' record ids unique.
     """
     body = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     meta = pages.select(
         "row",
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("record_id"),
+        F.col(id_col).cast("long").alias("record_id"),
         F.coalesce(F.col(url_col), F.lit("")).alias("url"),
         F.octet_length(body).cast("long").alias("bytes"),
         F.sha1(body).alias("sha1"),
         F.sha2(body, 256).alias("sha2"),
     )
-    keep = meta.where(F.col("bytes") >= least_bytes).groupBy("sha2", "sha1", "bytes").agg(F.max("record_id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    keep = meta.where(F.col("bytes") >= least_bytes).groupBy("sha2", "sha1", "bytes").agg(F.max(F.struct("record_id", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
     found = meta.join(keep.where("n > 1").drop("n"), ["sha2", "sha1", "bytes"], "left")
-    revisit = F.col("keep").isNotNull() & (F.col("record_id") != F.col("keep"))
+    revisit = F.col("keep").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("keep.record_id"))
     return found.select(
         "row",
         "record_id",
@@ -61,7 +62,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         "bytes",
         "sha1",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("keep")).alias("refers_to"),
+        F.when(revisit, F.col("keep.record_id")).alias("refers_to"),
+        F.when(revisit, F.col("keep.row")).alias("refers_row"),
     )
 
 
@@ -78,19 +80,23 @@ def _b32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def _head(record_id, url, size, sha1, kind, refers_to) -> bytes:
+def _urn(record_id, row) -> str:
+    return f"<urn:page:{'' if record_id is None else record_id}:{row}>"
+
+
+def _head(record_id, row, url, size, sha1, kind, refers_to, refers_row) -> bytes:
     """WARC header and HTTP header of a record, up to where its payload begins."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:page:{record_id}>"),
+        ("WARC-Record-ID", _urn(record_id, row)),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", "".join(c for c in url if c >= " ")),
         ("WARC-Payload-Digest", f"sha1:{_b32(sha1)}"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if kind == "revisit":
-        fields += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", _urn(refers_to, refers_row)), ("WARC-Profile", PROFILE)]
     fields.append(("Content-Length", str(len(http) + (size if kind == "response" else 0))))
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode("utf-8", "surrogatepass") + http
 
@@ -107,13 +113,13 @@ def write_archives(records: DataFrame, chunks: DataFrame, folder: str) -> DataFr
     no payload, so their chunks are dropped before the shuffle ends.
     """
     spark = records.sparkSession
-    small_batches(spark, 64)
+    small_batches(spark)
     ordered = (
         records.join(chunks, "row")
         .withColumn("data", F.when(F.col("record_type") == "response", F.col("data")))
         .where((F.col("record_type") == "response") | (F.col("chunk_no") == 0))
         .sortWithinPartitions("row", "chunk_no")
-        .select("record_id", "chunk_no", "url", "bytes", "sha1", "record_type", "refers_to", "data")
+        .select("record_id", "row", "chunk_no", "url", "bytes", "sha1", "record_type", "refers_to", "refers_row", "data")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +140,7 @@ def write_archives(records: DataFrame, chunks: DataFrame, folder: str) -> DataFr
                         size += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
                     gz = zlib.compressobj(4, zlib.DEFLATED, 31)
                     n += 1
-                    size += out.write(gz.compress(_head(r["record_id"], r["url"], r["bytes"], r["sha1"], r["record_type"], r["refers_to"])))
+                    size += out.write(gz.compress(_head(*(r[c] for c in ("record_id", "row", "url", "bytes", "sha1", "record_type", "refers_to", "refers_row")))))
                 if r["data"]:
                     size += out.write(gz.compress(r["data"]))
         if out is not None:
@@ -190,7 +196,8 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _number(urn: str | None) -> int | None:
-    return int(urn[10:-1]) if urn else None
+    number = urn[10:-1].partition(":")[0] if urn else ""
+    return int(number) if number else None
 
 
 def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = 1 << 20, with_data: bool = True) -> DataFrame:
@@ -202,7 +209,7 @@ def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = 1 << 20,
     refers to. A digest that does not match its header raises an error.
     """
     spark = manifest.sparkSession
-    small_batches(spark, 64)
+    small_batches(spark)
     names = ["record_id", "chunk_no", "record_type", "refers_to", "data", "upto", "sha1_upto", "payload_bytes", "payload_digest", "last"]
     types = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
     schema = pa.schema(list(zip(names, types, strict=True)))

@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from functools import partial
 
 import pytest
 import xxhash
@@ -24,8 +25,11 @@ def rows(seed=3, n=60):
     return [*out, (100, None), (101, ""), (102, "x" * 100_000), (103, "x" * 100_000), (5, "alpha"), (5, "alpha"), (None, "alpha")]
 
 
+@pytest.mark.parametrize("most", [4096, 2])
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-def test_content_sort(spark, keep):
+def test_content_sort(spark, keep, most, monkeypatch):
+    """Groups of more rows than a piece holds are joined again."""
+    monkeypatch.setattr(content_sort, "_runs", partial(content_sort._runs, most=most))
     data = rows()
     groups = defaultdict(list)
     for i, t in data:
