@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 _TAG = re.compile(r"<\s*(/?)\s*([A-Za-z][\w-]*)_(\d+)\s*(/?)\s*>")
-_BREAK = re.compile(r"[ \t]*(?:\r?\n|&lt;br\s*/?&gt;)[ \t]*", re.I)
+#: A line end, written plainly or as an escaped tag, with the blanks around it.
+_LINE_END = re.compile(r"[ \t]*(?:\r\n|\r|\n|&lt;br */?&gt;)[ \t]*", re.I)
 REPAIRED = StructType([StructField("markup", StringType()), StructField("missing", ArrayType(IntegerType())), StructField("issues", IntegerType())])
 
 
@@ -19,54 +20,71 @@ def _escaped(text: str) -> str:
     return html.unescape(text).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
+def _closings(marks: list[tuple[int, bool]]) -> list[int | None]:
+    """For each mark (number, is it a closing one) the place at which it ends: of an opening one the mark that closes it.
+
+    A closing mark ends the last open one of its number and all that were opened
+    since. What is left open ends behind the last mark; a closing mark without an
+    open one has None.
+    """
+    ends: list[int | None] = [None] * len(marks)
+    still: list[int] = []
+    for place, (number, closing) in enumerate(marks):
+        if not closing:
+            still.append(place)
+            continue
+        depth = max((d for d, opened in enumerate(still) if marks[opened][0] == number), default=len(still))
+        for opened in still[depth:]:
+            ends[opened] = place
+        if depth < len(still):
+            ends[place] = still[depth]
+        still = still[:depth]
+    for opened in still:
+        ends[opened] = len(marks)
+    return ends
+
+
 def repaired(markup: str, names: dict[int, str], voids: set[int]) -> tuple[str, list[int], int]:
     """Valid nesting of the known tags: (markup, tags that are lost, repairs).
 
-    Unknown markers go, void tags close themselves, crossing tags are closed
-    inside out, and open ones are closed at the end.
+    First each opening mark is given its end, then the text is written with every
+    tag closed there, the innermost first. Unknown marks go, void tags close
+    themselves.
     """
-    done: list[str] = []
-    inside: list[int] = []
-    used: set[int] = set()
-    issues, at = 0, 0
-
-    def close(upto: int, wanted: int | None) -> int:
-        extra = 0
-        while len(inside) > upto:
-            k = inside.pop()
-            extra += k != wanted
-            done.append(f"</{names[k]}_{k}>")
-        return extra
-
-    for m in _TAG.finditer(markup):
-        done.append(_escaped(markup[at : m.start()]))
-        at, k = m.end(), int(m[3])
-        if k not in names or (m[4] and not m[1] and k not in voids):
-            issues += 1
-        elif k in voids:
-            if not m[1]:
-                done.append(f"<{names[k]}_{k}/>")
-                used.add(k)
-        elif not m[1]:
-            inside.append(k)
-            used.add(k)
-            done.append(f"<{names[k]}_{k}>")
-        elif k in inside:
-            issues += close(len(inside) - 1 - inside[::-1].index(k), k)
+    found = list(_TAG.finditer(markup))
+    paired = [m for m in found if int(m[3]) in names and int(m[3]) not in voids and not (m[4] and not m[1])]
+    ends = _closings([(int(m[3]), bool(m[1])) for m in paired])
+    place = {m.start(): i for i, m in enumerate(paired)}
+    closes: dict[int, list[int]] = {}
+    for i, m in enumerate(paired):
+        if not m[1]:
+            closes.setdefault(ends[i], []).insert(0, i)
+    tag = lambda i: f"{names[int(paired[i][3])]}_{int(paired[i][3])}"
+    # a tag that another's end or the end of the text closes is a repair, as is a mark that stands for nothing
+    issues = sum(1 for i, m in enumerate(paired) if (not m[1] and (ends[i] == len(paired) or ends[ends[i]] != i)) or (m[1] and ends[i] is None))
+    parts, upto = [], 0
+    for m in found:
+        parts.append(_escaped(markup[upto : m.start()]))
+        upto, number, i = m.end(), int(m[3]), place.get(m.start())
+        if i is not None:
+            parts += [f"</{tag(j)}>" for j in closes.get(i, [])] if m[1] else [f"<{tag(i)}>"]
+        elif number in voids and number in names:
+            parts += [] if m[1] else [f"<{names[number]}_{number}/>"]
         else:
             issues += 1
-    done.append(_escaped(markup[at:]))
-    issues += close(0, None)
-    return "".join(done).strip(), [k for k in names if k not in used], issues
+    parts.append(_escaped(markup[upto:]))
+    parts += [f"</{tag(j)}>" for j in closes.get(len(paired), [])]
+    kept = {int(m[3]) for m in found if not m[1] and (m.start() in place or int(m[3]) in voids)}
+    return "".join(parts).strip(), [k for k in names if k not in kept], issues
 
 
 def with_breaks(markup: str, missing: list[int], names: dict[int, str]) -> tuple[str, list[int]]:
-    """Lost line breaks put where the text has as many plain ones; else nothing changes."""
-    lost = [k for k in missing if names[k] == "br"]
-    if not lost or len(_BREAK.findall(markup)) != len(lost):
+    """Lost line breaks put between the text's lines, if it has one more than breaks are lost; else nothing changes."""
+    lost = [f"<br_{k}/>" for k in missing if names[k] == "br"]
+    lines = _LINE_END.split(markup)
+    if not lost or len(lines) != len(lost) + 1:
         return markup, missing
-    each = iter(lost)
-    return _BREAK.sub(lambda _: f"<br_{next(each)}/>", markup), [k for k in missing if k not in lost]
+    return "".join(line + tag for line, tag in zip(lines, [*lost, ""], strict=True)), [k for k in missing if names[k] != "br"]
 
 
 @F.arrow_udf(REPAIRED)

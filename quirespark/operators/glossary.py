@@ -24,13 +24,23 @@ def occurs(text: Column, term: Column) -> Column:
     return (term != "") & F.regexp_like(text, quoted)
 
 
+#: Words of names and titles that alone name nobody.
+STOP = "the and of de da do das dos la le les el los las von van der den mister miss lady lord king queen saint san santa".split()
+
+
+def part_names(term: Column) -> Column:
+    """A term's own names: words of four letters or more with a capital, titles and particles left out."""
+    return F.filter(F.split(term, r"[\s\-–]+"), lambda w: (F.length(w) >= 4) & w.rlike(r"^\p{Lu}") & ~F.lower(w).isin(*STOP))
+
+
 def matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text") -> DataFrame:
-    """(text_id, term, pos, origin, score): terms that a text mentions, 3 for the whole term, 4 if a user wrote it.
+    """(text_id, term, pos, origin, score): terms that a text mentions, 3 for the whole term, 2 for one of its names in its own case, 1 more if a user wrote it.
 
     A mentioned term begins with a whole word of the text, so the texts' distinct
     words are joined to first words by equality. That decides a term of one word,
     whose plural forms are keys too; only longer terms are then looked for by a
-    pattern, in the texts that have their first word. No text meets every term.
+    pattern, in the texts that have their first word. Names of a term are joined to
+    words in the same way. No text meets every term.
     """
     run = r"[\p{L}\p{N}]+"
     folded = folded_term(F.col("term"))
@@ -43,7 +53,14 @@ def matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text"
     bodies = texts.select(text_id, F.col(text).alias("_text"), folded_term(F.col(text)).alias("_folded"))
     longer = pairs.where("not single").join(bodies, text_id).where(occurs(F.col("_text"), F.col("term")) | mentions(F.col("_folded"), F.col("term"), folded=True))
     found = pairs.where("single").unionByName(longer.select(*pairs.columns))
-    return found.select(text_id, "term", "pos", "origin", (F.lit(3) + (F.col("origin") == "user").cast("int")).cast("long").alias("score"))
+    named = terms.select("term", "pos", "origin", F.explode(part_names(F.col("term"))).alias("name")).withColumn("word", F.regexp_extract("name", run, 0))
+    own = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)))).alias("word"))
+    part = own.join(named, "word")
+    odd = part.where("word <> name").join(texts.select(text_id, F.col(text).alias("_text")), text_id).where(occurs(F.col("_text"), F.col("name")))
+    parts = part.where("word = name").select(text_id, "term", "pos", "origin").unionByName(odd.select(text_id, "term", "pos", "origin"))
+    scored = found.select(text_id, "term", "pos", "origin", F.lit(3).alias("s")).unionByName(parts.withColumn("s", F.lit(2)))
+    best = scored.groupBy(text_id, "term", "pos", "origin").agg(F.max("s").alias("s"))
+    return best.select(text_id, "term", "pos", "origin", (F.col("s") + (F.col("origin") == "user").cast("int")).cast("long").alias("score"))
 
 
 def top_entries(found: DataFrame, text_id: str, most: int = 60) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +24,15 @@ def build_intervals(splits: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return cuts.join(sizes, key).select(key, "start", F.coalesce(nxt, F.col("n")).alias("end"), "title", "depth")
 
 
+def sections(rows: DataFrame, key: str, at: str, cut: Column, into: str = "start") -> DataFrame:
+    """``rows`` with the position at which the section of each begins: the last one at or before it where ``cut`` holds, else 0.
+
+    For cut points that are rows themselves: one sort by key and position, and no join.
+    """
+    before = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(into, F.coalesce(F.last(F.when(cut, F.col(at)), ignorenulls=True).over(before), F.lit(0).cast("long")))
+
+
 def interval_join(rows: DataFrame, intervals: DataFrame, key: str, at: str = "i") -> DataFrame:
     """Each row with the interval that holds it; rows outside all intervals are kept with nulls.
 

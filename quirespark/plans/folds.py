@@ -59,9 +59,16 @@ def paced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_window_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: tokens of all users' requests of a type in the hour before each one."""
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-3_600_000_000, 0)
-    return _events(spark, sf_dir).select("event_id", F.sum("tokens").over(w).alias("used"), F.count(F.lit(1)).over(w).alias("requests"))
+    """T5: tokens of all users' requests of a type in the 60 seconds before each one.
+
+    Each event stands in its own minute and, as what went before, in the next one,
+    so that the window of a frequent type is many small ones.
+    """
+    minute = F.floor(F.col("us") / 60_000_000).cast("long")
+    e = _events(spark, sf_dir).withColumn("own", minute).withColumn("minute", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    w = Window.partitionBy("event_type", "minute").orderBy("us").rangeBetween(-60_000_000, 0)
+    summed = e.select("event_id", "own", "minute", F.sum("tokens").over(w).alias("used"), F.count(F.lit(1)).over(w).alias("requests"))
+    return summed.where("own = minute").drop("own", "minute")
 
 
 def quota_daily_tz(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +149,39 @@ f AS (SELECT {key}, {order}, rn, {start} FROM s WHERE rn = 1 UNION ALL SELECT s.
 SELECT {key}, {order}, {out} FROM f"""
 
 
+#: FNV-1a of a name, and nine bindings with their families.
+_FNV = """CAST(list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+  lambda h, c: (CAST(xor(CAST(h AS BIGINT), CAST(c AS BIGINT)) AS HUGEINT) * 16777619) % 4294967296) AS BIGINT)"""
+_FAMILIES = "[" + ", ".join(f"'{family}'" for _, family in folds.BINDINGS) + "]"
+_NAMES = "[" + ", ".join(f"'{name}'" for name, _ in folds.BINDINGS) + "]"
+#: The first place of a book's walk over the bindings whose family the last two do not have, else the walk's end, which is its beginning.
+_PICK = f"coalesce(list_filter(s.walk, lambda x: NOT list_contains(recent, ({_FAMILIES})[x + 1]))[1], s.walk[1])"
 _CUT = "(held + s.n > 800 OR c >= 3)"
 _GCUT = "(hc + s.chars > 24000 OR hs + s.segments > 120 OR c >= 40)"
 ORACLES = {
+    "binding_assign": f"""
+WITH RECURSIVE s AS (SELECT c_nationkey, c_custkey, c_custkey % 4 = 0 AS covered, list_transform(range(9), lambda i: (h % 9 + i * (1 + (h >> 8) % 8)) % 9) AS walk,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM (SELECT *, {_FNV} AS h FROM customer)),
+f AS (SELECT c_nationkey, c_custkey, rn, s.walk[1] AS pick, CASE WHEN covered THEN [] ELSE [({_FAMILIES})[s.walk[1] + 1]] END AS recent FROM s WHERE rn = 1
+  UNION ALL SELECT s.c_nationkey, s.c_custkey, s.rn, {_PICK}, CASE WHEN s.covered THEN recent ELSE list_prepend(({_FAMILIES})[{_PICK} + 1], recent[1:1]) END
+  FROM f JOIN s ON s.c_nationkey = f.c_nationkey AND s.rn = f.rn + 1)
+SELECT c_nationkey, c_custkey, ({_NAMES})[pick + 1] AS binding, ({_FAMILIES})[pick + 1] AS family FROM f""",
+    "line_cluster": """
+WITH RECURSIVE s AS (SELECT l_orderkey, l_quantity AS y, l_tax * 100 AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey) AS rn FROM lineitem),
+f AS (SELECT l_orderkey, rn, 0 AS line, y AS first FROM s WHERE rn = 1
+  UNION ALL SELECT s.l_orderkey, s.rn, CASE WHEN abs(y - first) > greatest(2.0::DOUBLE, 0.45::DOUBLE * size) THEN line + 1 ELSE line END,
+    CASE WHEN abs(y - first) > greatest(2.0::DOUBLE, 0.45::DOUBLE * size) THEN y ELSE first END FROM f JOIN s ON s.l_orderkey = f.l_orderkey AND s.rn = f.rn + 1)
+SELECT l_orderkey, CAST(max(line) + 1 AS BIGINT) AS lines, count(*) AS items FROM f GROUP BY l_orderkey""",
+    "breaker_state": f"""
+WITH RECURSIVE e AS (SELECT user_id, us, event_id, event_type = 'error' AS failed, coalesce(value > 90, FALSE) AS account FROM {_E}),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM e),
+f AS (SELECT user_id, 0::BIGINT AS us, -1::BIGINT AS event_id, 0::BIGINT AS rn, 0::BIGINT AS consecutive, 0::BIGINT AS opens, FALSE AS fatal, 0::BIGINT AS blocked FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL SELECT user_id, us, event_id, rn, c, o, g, CASE WHEN failed THEN least(greatest(CASE WHEN blocked > us THEN blocked ELSE 0 END,
+      CASE WHEN account THEN us + 21600000000 WHEN c >= 3 THEN us + least(CAST(120000000 * pow(2, least(o - 1, 40)) AS HUGEINT), 3600000000) ELSE us + 60000000 END), us + 3024000000000) ELSE 0 END
+  FROM (SELECT s.user_id, s.us, s.event_id, s.rn, s.failed, s.account, f.blocked, CASE WHEN NOT s.failed THEN 0 WHEN s.account THEN f.consecutive ELSE f.consecutive + 1 END AS c,
+      CASE WHEN NOT s.failed THEN 0 WHEN NOT s.account AND f.consecutive + 1 >= 3 THEN f.opens + 1 ELSE f.opens END AS o, s.failed AND s.account AS g
+      FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1))
+SELECT user_id, us, event_id, CASE WHEN blocked = 0 THEN 'closed' WHEN fatal OR consecutive >= 3 THEN 'open' ELSE 'cooldown' END AS state, consecutive, blocked AS blocked_until FROM f WHERE rn > 0""",
     "greedy_batches": _recursive(
         "(SELECT conv_id, turn, CAST(length(text) + 21 AS BIGINT) AS n FROM conversations)", "conv_id", "turn", "n",
         "0::BIGINT AS batch, n AS held, 1 AS c", f"CASE WHEN {_CUT} THEN batch + 1 ELSE batch END, CASE WHEN {_CUT} THEN s.n ELSE held + s.n END, CASE WHEN {_CUT} THEN 1 ELSE c + 1 END", "batch",
@@ -160,7 +197,7 @@ ORACLES = {
         "0::BIGINT AS part, w AS held", "CASE WHEN held >= 3500 THEN part + 1 ELSE part END, CASE WHEN held >= 3500 THEN s.w ELSE held + s.w END", "part",
     ),
     "token_window_60s": f"""
-SELECT event_id, CAST(sum(tokens) OVER w AS BIGINT) AS used, count(*) OVER w AS requests FROM {_E} WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)""",
+SELECT event_id, CAST(sum(tokens) OVER w AS BIGINT) AS used, count(*) OVER w AS requests FROM {_E} WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)""",
     "quota_left": "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(CASE WHEN bool_or(event_type = 'error') THEN 0 ELSE greatest(0, 12 - count(*)) END AS BIGINT) AS left FROM events GROUP BY 1, 2",
     "quota_daily_tz": f"SELECT user_id, strftime(ts - INTERVAL 8 HOUR, '%Y-%m-%d') AS day, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM {_E} GROUP BY 1, 2",
     "hold_sessions": f"""

@@ -32,10 +32,10 @@ def chapter_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and segments of each chapter."""
-    lines = _lines(spark, sf_dir)
-    chapters = chapter_intervals(spark, sf_dir)
-    inside = iv.interval_join(lines.select("doc_id", "i", tx.word_count(F.col("src")).alias("words")), chapters, "doc_id")
+    """Words and segments of each chapter; cuts are lines, so one sort does without the join."""
+    src = F.col("src")
+    lines = _lines(spark, sf_dir).select("doc_id", "i", tx.word_count(src).alias("words"), (tx.has_meaning(src) & (F.length(src) % 3 <= 1)).alias("fit"))
+    inside = iv.sections(lines, "doc_id", "i", F.col("fit") & (F.col("words") <= 3))
     return inside.groupBy("doc_id", "start").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("segments"))
 
 
@@ -46,8 +46,11 @@ def asof_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary: the first word of each benchmark item, by the first item that has it."""
-    first = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"[\p{L}]{3,}", 0).alias("term"), F.col("item_id").alias("pos"))
+    """Glossary: the first two words of each benchmark item, of every third its first word, with capitals, by the first item that has it."""
+    size = F.when(F.col("item_id") % 3 == 0, 0).otherwise(1)
+    words = F.array_join(F.regexp_extract_all(F.regexp_extract("text", r"\p{L}{3,} +\p{L}{3,}", 0), F.lit(r"\p{L}+"), F.lit(0)), " ")
+    term = F.initcap(F.when(size == 0, F.substring_index(words, " ", 1)).otherwise(words))
+    first = table(spark, sf_dir, "benchmark").select(term.alias("term"), F.col("item_id").alias("pos"))
     once = first.where("term <> ''").groupBy("term").agg(F.min("pos").alias("pos"))
     return once.withColumn("origin", F.when(F.col("pos") % 4 == 0, "user").otherwise("auto"))
 
@@ -66,7 +69,7 @@ def glossary_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.where("c_custkey % 3 = 0").select(
+    return c.where("c_acctbal < 2000").select(
         F.concat(F.lit("  "), F.upper("c_name")).alias("term"), F.col("c_mktsegment").alias("translation"), F.lit("auto").alias("origin")
     )
 
@@ -80,7 +83,7 @@ def glossary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def glossary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8, H6."""
-    changes = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_name").alias("term"), F.lit("changed").alias("translation"))
+    changes = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("term"), F.lit("changed").alias("translation"))
     return gl.upsert(_entries(spark, sf_dir), changes)
 
 
@@ -107,10 +110,10 @@ def dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal outputs (first words of a turn) of at least two different sources."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", F.lower(F.substring("text", 1, 20)).alias("out"), F.md5(F.col("text")).alias("src"))
-    groups = turns.where(F.length("out") >= 20).groupBy("out").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("src").alias("sources"))
-    return groups.where("sources >= 2").select("out", (F.col("rows") - 1).alias("cases"), "sources")
+    """Equal outputs (whole lines, white space and case apart) of at least two different documents."""
+    lines = _lines(spark, sf_dir).select("doc_id", F.lower(F.regexp_replace(F.regexp_replace("src", r"^\s+|\s+$", ""), r"\s+", " ")).alias("out"))
+    groups = lines.where(F.length("out") >= 20).groupBy(F.md5("out").alias("out_md5")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("sources"))
+    return groups.where("sources >= 2").select("out_md5", (F.col("rows") - 1).alias("cases"), "sources")
 
 
 def provider_route(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +160,9 @@ def _votes(words, known):
 
 def ngram_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4, Q12: benchmark items whose 6-word runs a document repeats, with the covered share of runs."""
-    grams = lambda t: F.expr(f"array_distinct(transform(sequence(0, greatest(size({t}) - 6, -1)), i -> array_join(slice({t}, i + 1, 6), ' ')))")
+    # a run is two hashes of its words, 128 bits; the benchmark's runs are few, so Spark sends them to the documents when they are small
+    run = ", ".join(f"t[i + {k}]" for k in range(6))
+    grams = lambda t: F.expr(f"transform(array({t}), t -> array_distinct(transform(sequence(0, size(t) - 6), i -> struct(xxhash64({run}) AS a, xxhash64(7, {run}) AS b))))[0]")
     word = lambda: F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     items = table(spark, sf_dir, "benchmark").select("item_id", word().alias("w")).where("size(w) >= 12").select("item_id", grams("w").alias("g"))
     docs = table(spark, sf_dir, "documents").select("doc_id", word().alias("w")).where("size(w) >= 6").select("doc_id", F.explode(grams("w")).alias("gram"))
@@ -194,10 +199,21 @@ cuts AS (SELECT doc_id, i AS start, src AS title, CAST(length(src) % 3 AS BIGINT
 allcuts AS (SELECT * FROM cuts UNION ALL SELECT doc_id, 0, NULL, 0 FROM sizes WHERE doc_id NOT IN (SELECT doc_id FROM cuts WHERE start = 0)),
 ch AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS "end", title, depth FROM allcuts JOIN sizes USING (doc_id))"""
 _FOLD = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
-_TERMS = "terms AS (SELECT term, min(item_id) AS pos FROM (SELECT regexp_extract(text, '[\\p{L}]{3,}', 0) AS term, item_id FROM benchmark) WHERE term <> '' GROUP BY term)"
-_MATCH = rf"""{_TERMS}, found AS (SELECT doc_id, term, pos, CAST(3 + CAST(pos % 4 = 0 AS INT) AS BIGINT) AS score FROM documents, terms
-WHERE regexp_matches(text, '(^|[^\p{{L}}\p{{N}}])' || term || '($|[^\p{{L}}\p{{N}}])')
-   OR regexp_matches({_FOLD.format('text')}, '(^|[^\p{{L}}\p{{N}}])' || lower(term) || '(?:s|es|''s|s'')?($|[^\p{{L}}\p{{N}}])'))"""
+_TERMS = r"""terms AS (SELECT list_aggregate(list_transform(string_split(t, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS term, min(item_id) AS pos
+  FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN split_part(w, ' ', 1) ELSE w END AS t
+        FROM (SELECT item_id, regexp_replace(regexp_extract(text, '\p{L}{3,} +\p{L}{3,}', 0), ' +', ' ') AS w FROM benchmark)) WHERE t <> '' GROUP BY 1)"""
+#: Words between blanks, of two neighbours the end of the first and the beginning of the second; joined to terms by equality.
+_MATCH = rf"""{_TERMS}, ends AS (SELECT term, pos, lower(split_part(term, ' ', 1)) AS one, lower(split_part(term, ' ', 2)) AS two FROM terms),
+forms AS (SELECT term, pos, one || s AS one, '' AS two FROM ends, (VALUES (''), ('s'), ('es')) AS f(s) WHERE two = ''
+          UNION ALL SELECT term, pos, one, two || s FROM ends, (VALUES (''), ('s'), ('es')) AS f(s) WHERE two <> ''),
+parts AS (SELECT doc_id, string_split({_FOLD.format('text')}, ' ') AS p FROM documents),
+near AS (SELECT DISTINCT doc_id, regexp_extract(p[i], '([\p{{L}}\p{{N}}]+)$', 1) AS one, regexp_extract(p[i + 1], '^([\p{{L}}\p{{N}}]+)', 1) AS two FROM (SELECT *, unnest(range(1, len(p))) AS i FROM parts)),
+word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS one, '' AS two FROM documents),
+named AS (SELECT term, pos, unnest(string_split(term, ' ')) AS name FROM terms),
+own AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS name FROM documents),
+hit AS (SELECT doc_id, term, pos, 3 AS s FROM near JOIN forms USING (one, two) WHERE one <> '' AND two <> '' UNION ALL SELECT doc_id, term, pos, 3 FROM word JOIN forms USING (one, two)
+        UNION ALL SELECT doc_id, term, pos, 2 FROM own JOIN named USING (name) WHERE length(name) >= 4 AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in gl.STOP)})),
+found AS (SELECT doc_id, term, pos, CAST(max(s) + CAST(pos % 4 = 0 AS INT) AS BIGINT) AS score FROM hit GROUP BY doc_id, term, pos)"""
 _VOTE = {c: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws) + ")))" for c, ws in FUNCTION_WORDS.items()}
 ORACLES = {
     "chapter_intervals": f'WITH {_CH} SELECT doc_id, start, "end", title, depth FROM ch',
@@ -207,18 +223,19 @@ FROM lines JOIN ch ON lines.doc_id = ch.doc_id AND i >= start AND i < "end" GROU
     "glossary_match": f"WITH {_MATCH} SELECT term, count(*) AS docs, max(score) AS score FROM found GROUP BY term",
     "glossary_topk": f"WITH {_MATCH} SELECT doc_id, rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM found) WHERE rank <= 5",
     "glossary_merge": f"""
-WITH e AS (SELECT {_FOLD.format("upper(c_name)")} AS key FROM customer WHERE c_custkey % 3 = 0),
+WITH e AS (SELECT {_FOLD.format("upper(c_name)")} AS key FROM customer WHERE c_acctbal < 2000),
 c AS (SELECT c_name AS term, c_custkey AS pos FROM customer UNION ALL SELECT upper(c_name), c_custkey + 1000000 FROM customer)
 SELECT {_FOLD.format('term')} AS key, arg_min(term, pos) AS term, min(pos) AS pos FROM c WHERE {_FOLD.format('term')} NOT IN (SELECT key FROM e) GROUP BY 1""",
     "glossary_upsert": f"""
 SELECT coalesce(o.key, n.key) AS key, coalesce(o.term, n.term) AS term, coalesce(n.translation, o.translation) AS translation, CASE WHEN n.key IS NOT NULL THEN 'user' ELSE 'auto' END AS origin
-FROM (SELECT {_FOLD.format("upper(c_name)")} AS key, '  ' || upper(c_name) AS term, c_mktsegment AS translation FROM customer WHERE c_custkey % 3 = 0) o
-FULL JOIN (SELECT {_FOLD.format("c_name")} AS key, c_name AS term, 'changed' AS translation FROM customer WHERE c_custkey % 5 = 0) n ON o.key = n.key""",
+FROM (SELECT {_FOLD.format("upper(c_name)")} AS key, '  ' || upper(c_name) AS term, c_mktsegment AS translation FROM customer WHERE c_acctbal < 2000) o
+FULL JOIN (SELECT {_FOLD.format("c_name")} AS key, c_name AS term, 'changed' AS translation FROM customer WHERE c_mktsegment = 'BUILDING') n ON o.key = n.key""",
     "toc_label_precedence": "SELECT p_partkey, CASE WHEN p_size <= 25 THEN upper(p_name) ELSE p_name END AS label FROM part",
     "fill_skeleton": f"SELECT doc_id, md5(string_agg(CASE WHEN i % 2 = 0 THEN '» ' || src ELSE src END, chr(10) ORDER BY i)) AS text_md5 FROM {_L} GROUP BY doc_id",
     "dedup_first": "SELECT doc_id, min(doc_id) OVER w AS first_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)",
     "repeated_outputs": """
-SELECT out, count(*) - 1 AS cases, count(DISTINCT text) AS sources FROM (SELECT lower(text[1:20]) AS out, text FROM conversations) WHERE length(out) >= 20 GROUP BY out HAVING count(DISTINCT text) >= 2""",
+SELECT md5(out) AS out_md5, count(*) - 1 AS cases, count(DISTINCT doc_id) AS sources
+FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(src, '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS out FROM """ + _L + """) WHERE length(out) >= 20 GROUP BY out HAVING count(DISTINCT doc_id) >= 2""",
     "provider_route": """
 WITH u AS (SELECT user_id, event_type, epoch_us(max(ts)) + count(*) * 3600000000 AS until, (SELECT epoch_us(max(ts)) FROM events) AS now FROM events GROUP BY ALL)
 SELECT user_id, min(event_type) FILTER (WHERE until <= now) AS provider,

@@ -53,7 +53,7 @@ def clean_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stray_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F36."""
-    t = F.concat(F.lit('&lt;em class="x"&gt;'), F.substring_index("text", "\n", 1), F.lit("&lt;/em&gt;&lt;br/&gt; **bold**  end "))
+    t = F.concat(F.lit('&lt;em class="x"&gt;'), "text", F.lit("&lt;/em&gt;&lt;br/&gt; **bold**  end "))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(lb.without_stray_markup(t)).alias("text_md5"))
 
 
@@ -64,10 +64,11 @@ def translatable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q11: lines that are bibliographic references, by language."""
-    i = F.col("doc_id") % 6
+    """Q11: every line of the documents that is a bibliographic reference; some lines are given an ending that makes one."""
+    i = F.length("line") % 6
     tail = F.when(i == 0, " (1998)").when(i == 1, " see pp. 23").when(i == 2, " et al.").when(i == 3, " New York: Random House, 1998").otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", lb.is_reference(F.concat(F.substring_index("text", "\n", 1), tail)).cast("int").alias("reference"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.where(lb.is_reference(F.concat("line", tail))).select("doc_id", "line_no")
 
 
 def reply_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +137,7 @@ def _chain(text: str, patterns) -> str:
 
 
 _LINE = "split_part(text, chr(10), 1)"
-_REF = "|".join(f"(?:{p})" for p in lb.REFERENCE).replace("'", "''")
+_REF = "|".join(f"(?:{p})" for p in lb.REFERENCE.values()).replace("'", "''")
 _UNLIGATED = "text"
 for _a, _b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("­", "")):
     _UNLIGATED = f"replace({_UNLIGATED}, '{_a}', '{_b}')"
@@ -161,10 +162,11 @@ SELECT page_id, coalesce(CASE WHEN m <> '' AND page_id % 4 > 1 AND NOT regexp_ma
 FROM (SELECT page_id, html, regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '^\s+|\s+$', '', 'g') AS m, regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1) AS f FROM pages)""",
     "clean_pdf_text": rf"SELECT conv_id, turn, md5(regexp_replace({_UNLIGATED}, '{lb.WIDE_SPACE}', ' ', 'g')) AS text_md5 FROM conversations",
     "stray_markup": rf"""
-SELECT conv_id, turn, md5(regexp_replace(regexp_replace({_LINE} || '  bold  end', '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM conversations""",
+SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text || '  bold  end', '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM conversations""",
     "translatable_text": f"SELECT doc_id, md5({_chain(chr(39) + ' ' + chr(39) + ' || text || ' + chr(39) + ' doi: 10.1000/xyz123 see https://a.example/b ISBN 978-0-306-40615-7 end' + chr(39), lb.VERBATIM)}) AS text_md5 FROM documents",
     "reference_lines": f"""
-SELECT doc_id, CAST(regexp_matches({_LINE} || CASE doc_id % 6 WHEN 0 THEN ' (1998)' WHEN 1 THEN ' see pp. 23' WHEN 2 THEN ' et al.' WHEN 3 THEN ' New York: Random House, 1998' ELSE '' END, '{_REF}') AS INT) AS reference FROM documents""",
+SELECT doc_id, line_no FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+WHERE regexp_matches(line || CASE length(line) % 6 WHEN 0 THEN ' (1998)' WHEN 1 THEN ' see pp. 23' WHEN 2 THEN ' et al.' WHEN 3 THEN ' New York: Random House, 1998' ELSE '' END, '{_REF}')""",
     "reply_tails": "SELECT conv_id, turn, 'I cannot go on ' || turn AS tail FROM conversations",
     "elided_texts": """
 SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS text_md5 FROM (SELECT doc_id, CASE WHEN length(text) > 2800 THEN text[1:2100] || chr(10) || '[…]' || chr(10) || text[length(text) - 699:] ELSE text END AS t FROM documents)""",

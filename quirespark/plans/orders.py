@@ -72,7 +72,7 @@ def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toc_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels take translations by position, but only where there are as many of both."""
-    side = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", F.substring("text", 1, 20).alias("t")))))
+    side = lambda r: F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", F.col("text").alias("t")))))
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(side("user").alias("u"), side("assistant").alias("a"))
     joined = F.array_join(F.zip_with("u", "a", lambda x, y: F.concat(x["t"], F.lit("="), y["t"])), "|")
     return c.select("conv_id", F.size("u").cast("long").alias("labels"), F.md5(F.when(F.size("u") == F.size("a"), joined).otherwise("")).alias("zipped_md5"))
@@ -176,13 +176,10 @@ def valid_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over each order's array of lines, weighted and of failed lines."""
-    o = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("n"), "l_linestatus")).alias("ls"))
-    zero = F.lit(0).cast("long")
-    return o.select(
-        "l_orderkey", F.aggregate("ls", zero, lambda a, x: a + x["q"] * x["n"]).alias("weighted"),
-        F.aggregate(F.filter("ls", lambda x: x["l_linestatus"] == "O"), zero, lambda a, x: a + x["q"]).alias("failed"),
-    )
+    """Sums over each order's lines, weighted and of failed lines; no order's lines are gathered."""
+    q, n = F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long")
+    failed = F.when(F.col("l_linestatus") == "O", q).otherwise(F.lit(0).cast("long"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(q * n).alias("weighted"), F.sum(failed).alias("failed"))
 
 
 def entry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +219,7 @@ FROM (SELECT 'plan' AS kind, s_name AS name, s_acctbal AS p, s_suppkey % 5 AS c
     "toc_titles": """
 SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS labels,
        md5(CASE WHEN count(*) FILTER (WHERE role = 'user') = count(*) FILTER (WHERE role = 'assistant') THEN array_to_string(list_transform(list_zip(
-         coalesce(list(text[1:20] ORDER BY turn) FILTER (WHERE role = 'user'), []), coalesce(list(text[1:20] ORDER BY turn) FILTER (WHERE role = 'assistant'), [])), lambda x: x[1] || '=' || x[2]), '|') ELSE '' END) AS zipped_md5
+         coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'user'), []), coalesce(list(text ORDER BY turn) FILTER (WHERE role = 'assistant'), [])), lambda x: x[1] || '=' || x[2]), '|') ELSE '' END) AS zipped_md5
 FROM conversations GROUP BY conv_id""",
     "finished_titles": """
 SELECT conv_id, md5(CASE WHEN conv_id % 5 = 0 THEN 'Saved' ELSE reverse(arg_min(text, (CAST(text <> title AS INT), turn)) FILTER (WHERE length(text) < 400 AND turn > 0))[1:160] END) AS title_md5

@@ -58,11 +58,11 @@ def restart_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q20, Q21: segments of a reply; of a repeated id the last body that is not the source."""
     turns = table(spark, sf_dir, "conversations")
-    seg = F.concat(F.lit('<seg id="'), F.col("turn").cast("string"), F.lit('">'), F.concat(F.lit("» "), F.substring("text", 1, 40)), F.lit("</seg>"), F.lit('<seg id="'), F.col("turn").cast("string"), F.lit('">'), F.substring("text", 1, 40), F.lit("</seg>"))
+    seg = F.concat(F.lit('<seg id="'), F.col("turn").cast("string"), F.lit('">'), F.concat(F.lit("» "), F.col("text")), F.lit("</seg>"), F.lit('<seg id="'), F.col("turn").cast("string"), F.lit('">'), F.col("text"), F.lit("</seg>"))
     parts = F.array_sort(F.collect_list(F.struct("turn", seg.alias("s"))))
     reply = turns.groupBy("conv_id").agg(F.concat(F.lit("<think>plan</think>"), F.array_join(F.transform(parts, lambda p: p["s"]), "\n")).alias("reply"))
     got = reply.select("conv_id", F.posexplode(mk.reply_segments(F.col("reply"))).alias("pos", "s")).select("conv_id", "pos", "s.id", "s.body")
-    src = turns.select("conv_id", F.col("turn").alias("id"), F.regexp_replace(F.substring("text", 1, 40), r"^\s+|\s+$", "").alias("src"))
+    src = turns.select("conv_id", F.col("turn").alias("id"), F.regexp_replace(F.col("text"), r"^\s+|\s+$", "").alias("src"))
     good = got.join(src, ["conv_id", "id"]).withColumn("good", (F.col("body") != "") & (F.col("body") != F.col("src")))
     return good.groupBy("conv_id", "id").agg(F.md5(F.max_by("body", F.struct("good", "pos"))).alias("body_md5"), F.count(F.lit(1)).alias("copies"))
 
@@ -122,7 +122,7 @@ FROM (VALUES ('gratis', 0::BIGINT, 'view'), ('gratis', 1, 'click'), ('gratis', 2
 LEFT JOIN (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 90) AS high FROM events GROUP BY 1) USING (event_type)""",
     "restart_order": "SELECT o_orderpriority, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS next_order, count(*) AS active FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1",
     "reply_parse": r"""
-SELECT conv_id, turn AS id, md5(regexp_replace('» ' || text[1:40], '\s+$', '')) AS body_md5, 2::BIGINT AS copies FROM conversations""",
+SELECT conv_id, turn AS id, md5(regexp_replace('» ' || text, '\s+$', '')) AS body_md5, 2::BIGINT AS copies FROM conversations""",
     "new_terms": "SELECT n_nationkey, n_name AS term, lower(n_name) AS translation, CASE WHEN n_nationkey % 2 = 0 THEN 'place' ELSE 'other' END AS kind FROM nation",
     "limit_messages": """
 SELECT event_id, CAST(event_id % 3 = 0 AS INT) AS daily, CASE WHEN event_id % 3 = 0 THEN CAST(ceil(((event_id % 24) * 3600 + (event_id % 60) * 60 + 7.5) * 1000) AS BIGINT)

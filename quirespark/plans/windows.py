@@ -32,8 +32,10 @@ def bridge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def heading_dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes ranked from the largest within each brand, at most level 3."""
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.least(F.dense_rank().over(w), F.lit(3)).cast("long").alias("level"))
+    # ranked are the few different sizes of a brand, not its parts
+    parts, w = table(spark, sf_dir, "part"), Window.partitionBy("p_brand").orderBy(F.desc("p_size"))
+    levels = parts.select("p_brand", "p_size").distinct().withColumn("level", F.least(F.row_number().over(w), F.lit(3)).cast("long"))
+    return parts.join(levels, ["p_brand", "p_size"]).select("p_partkey", "level")
 
 
 def consecutive_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
