@@ -87,6 +87,87 @@ def with_breaks(markup: str, missing: list[int], names: dict[int, str]) -> tuple
     return "".join(line + tag for line, tag in zip(lines, [*lost, ""], strict=True)), [k for k in missing if names[k] != "br"]
 
 
+#: Inline elements of a reader's page and what stands for each of the book's.
+SHOWN = {"em": "em i cite dfn var", "strong": "strong b", "u": "u ins", "s": "s strike del", "code": "code kbd tt"} | {k: k for k in "sup sub small q".split()}
+_SHOWN = {name: element for element, names in SHOWN.items() for name in names.split()}
+#: Class of a span whose own tag speaks of italics, bold or small capitals.
+_LOOKS = ((re.compile(r"\b(?:ital|em)", re.I), "it"), (re.compile(r"\b(?:bold|strong)", re.I), "bd"), (re.compile(r"small-?caps|\bsc\b", re.I), "sc"))
+
+
+def safe_name(name: str) -> str:
+    """A name of ASCII letters, digits and hyphens that doesn't begin with one."""
+    return "".join(c if c.isascii() and c.isalnum() else "-" for c in name).lstrip("-") or "x"
+
+
+def _spelled(markup: str, known: set[int], voids: set[int], opened, closed, void) -> str:
+    """Markup with each known tag written by one of three functions of its number; every tag that opens is closed."""
+    marks = [m for m in _TAG.finditer(markup) if int(m[3]) in known]
+    nested = [m for m in marks if int(m[3]) not in voids and not (m[4] and not m[1])]
+    ends = _closings([(int(m[3]), bool(m[1])) for m in nested])
+    numbers = [int(m[3]) for m in nested]
+    place = {m.start(): i for i, m in enumerate(nested)}
+    written, upto = [], 0
+
+    def close(at: int) -> None:
+        written.extend(closed(numbers[i]) for i in reversed(range(min(at, len(nested)))) if ends[i] == at and not nested[i][1])
+
+    for m in _TAG.finditer(markup):
+        written.append(_escaped(markup[upto : m.start()]))
+        upto, number, i = m.end(), int(m[3]), place.get(m.start())
+        if i is not None and m[1]:
+            close(i)
+        elif i is not None:
+            written.append(opened(number))
+        elif number in voids and number in known and not m[1]:
+            written.append(void(number))
+    written.append(_escaped(markup[upto:]))
+    close(len(nested))
+    return "".join(written)
+
+
+def xhtml(markup: str, tags: dict[int, tuple[str, str, bool]], ids: set[str]) -> str:
+    """The book's own tags (name, opening tag, void) in place of the numbered ones; an id that ``ids`` holds already goes."""
+
+    def own(number: int) -> str:
+        tag = tags[number][1]
+        found = re.search(r'\sid="([^"]*)"', tag)
+        if found and found[1] in ids:
+            return tag.replace(found[0], "")
+        ids.update(found.groups() if found else ())
+        return tag
+
+    voids = {k for k, t in tags.items() if t[2]}
+    return _spelled(markup, set(tags), voids, own, lambda k: f"</{tags[k][0]}>", own)
+
+
+def safe_html(markup: str, tags: dict[int, tuple[str, str, bool]]) -> str:
+    """For a reader's page: known inline elements without the book's attributes, each with its number, so that edits can be read back."""
+    element = {k: _SHOWN.get(name.lower(), "span") for k, (name, _, _) in tags.items()}
+
+    def opened(k: int) -> str:
+        look = next((c for pattern, c in _LOOKS if pattern.search(tags[k][1])), None) if element[k] == "span" else None
+        return f'<{element[k]} data-k="{k}"' + (f' class="{look}">' if look else ">")
+
+    def void(k: int) -> str:
+        line = f'<br data-k="{k}">'
+        return line if tags[k][0] == "br" else f'<span data-k="{k}" data-v="1" class="inline-object" contenteditable="false"></span>'
+
+    return _spelled(markup, set(tags), {k for k, t in tags.items() if t[2]}, opened, lambda k: f"</{element[k]}>", void)
+
+
+RENDERED = StructType([StructField("xhtml", StringType()), StructField("html", StringType())])
+
+
+@F.arrow_udf(RENDERED)
+def rendered(markup: pa.Array, tags: pa.Array) -> pa.Array:
+    """``markup`` as the book's XHTML and as a page's HTML; ``tags`` is an array of (k, name, opening, void)."""
+    rows = []
+    for text, known in zip(markup.to_pylist(), tags.to_pylist(), strict=True):
+        by = {t["k"]: (t["name"], t["opening"], t["void"]) for t in known or []}
+        rows.append(None if text is None else {"xhtml": xhtml(text, by, set()), "html": safe_html(text, by)})
+    return pa.array(rows, pa.struct([("xhtml", pa.string()), ("html", pa.string())]))
+
+
 @F.arrow_udf(REPAIRED)
 def repair(markup: pa.Array, source: pa.Array) -> pa.Array:
     """An output's markup against its source's tags, with line breaks and then other lost void tags put back."""

@@ -93,6 +93,31 @@ def assign_bindings(df: DataFrame, key: str, order: list[str], hash_col: str, co
     return ordered_fold(df, [key], order, [hash_col, covered], tuple, step, {"binding": "string", "family": "string"})
 
 
+def wallet(df: DataFrame, key: str, order: list[str], action: str, amount: str) -> DataFrame:
+    """(key, order, balance, free, moved): credits of each wallet after each event.
+
+    Actions are grant, reserve (what is free up to the amount; nothing while a
+    reservation is open), capture (up to what is left of the reservation) and
+    release (closes it; ``moved`` is what had been captured). Others change nothing.
+    """
+
+    def step(state, what, n):
+        balance, held, taken = state
+        n, moved = max(n or 0, 0), 0
+        if what == "grant":
+            balance, moved = balance + n, n
+        elif what == "reserve" and not held:
+            held = moved = min(balance, n)
+        elif what == "capture":
+            moved = min(n, held - taken)
+            taken, balance = taken + moved, balance - moved
+        elif what == "release":
+            moved, held, taken = taken, 0, 0
+        return (balance, held, taken), (balance, balance - (held - taken), moved)
+
+    return ordered_fold(df, [key], order, [action, amount], lambda: (0, 0, 0), step, {"balance": "long", "free": "long", "moved": "long"})
+
+
 def word_cuts(df: DataFrame, key: str, order: str, words: str, least: int = 3500) -> DataFrame:
     """(key, order, part): a new part begins after a row at which the part has ``least`` words or more."""
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from quirespark.plans import costs, folds, joins, labels, orders, progress, quality, text, views, windows
+from quirespark.plans import costs, documents, folds, joins, labels, orders, progress, quality, text, views, windows
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (progress, text, joins, costs, windows, folds, quality, views, labels, orders):
+for _module in (progress, text, joins, costs, windows, folds, quality, views, labels, orders, documents):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
