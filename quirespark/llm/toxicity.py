@@ -62,40 +62,48 @@ def _sums(z: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(z - top).sum(axis=axis))
 
 
-def fit_chain(tokens: np.ndarray, tags: np.ndarray, lengths: np.ndarray, size: int, steps: int = 80, decay: float = 1.0):
-    """Weights (size) of the toxic state for each vocabulary entry and log transitions (2 x 2, clean to clean 0).
+def gradient(theta: np.ndarray, tokens: np.ndarray, tags: np.ndarray, lengths: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the tags and its gradient: counts seen less counts expected by forward-backward.
 
-    Sentences are rows padded at the right. Gradient ascent (Adam) on the
-    log-likelihood with an L2 penalty; gradients are forward-backward counts.
+    ``theta`` is the toxic state's weight of each vocabulary entry, then the log
+    transitions clean to toxic, toxic to clean, toxic to toxic (clean to clean is 0).
+    Sentences are rows padded at the right.
     """
     n, most = tokens.shape
+    size = len(theta) - 3
     mask = np.arange(most) < lengths[:, None]
+    pairs = mask[:, 1:]
+    seen = np.bincount(tokens[mask & (tags == 1)], minlength=size).astype(float)
+    seen_t = np.array([(pairs & (tags[:, :-1] == a) & (tags[:, 1:] == b)).sum() for a, b in ((0, 1), (1, 0), (1, 1))], float)
+    w, t = theta[:size], np.array([[0, theta[size]], [theta[size + 1], theta[size + 2]]])
+    emit = np.stack([np.zeros(tokens.shape), w[tokens]], axis=2)
+    alpha = np.zeros((n, most, 2))
+    alpha[:, 0] = emit[:, 0]
+    for i in range(1, most):
+        new = _sums(alpha[:, i - 1, :, None] + t[None], 1) + emit[:, i]
+        alpha[:, i] = np.where(mask[:, i, None], new, alpha[:, i - 1])
+    z = _sums(alpha[:, -1], 1)
+    beta = np.zeros((n, most, 2))
+    trans = np.zeros((2, 2))
+    for i in range(most - 2, -1, -1):
+        ahead = t[None] + (emit[:, i + 1] + beta[:, i + 1])[:, None, :]
+        inside = mask[:, i + 1]
+        beta[:, i] = np.where(inside[:, None], _sums(ahead, 2), beta[:, i + 1])
+        joint = np.exp(alpha[:, i, :, None] + ahead - z[:, None, None])
+        trans += joint[inside].sum(axis=0)
+    toxic = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * mask
+    expected = np.bincount(tokens[mask], weights=toxic[mask], minlength=size)
+    likelihood = float(seen @ w + seen_t @ theta[size:] - z.sum())
+    return likelihood, np.r_[seen - expected, seen_t - np.array([trans[0, 1], trans[1, 0], trans[1, 1]])]
+
+
+def fit_chain(tokens: np.ndarray, tags: np.ndarray, lengths: np.ndarray, size: int, steps: int = 80, decay: float = 1.0):
+    """Weights (size) of the toxic state for each vocabulary entry and log transitions (2 x 2), by gradient ascent (Adam) with an L2 penalty."""
     theta = np.zeros(size + 3)
     theta[0] = -2.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    seen = np.bincount(tokens[mask & (tags == 1)], minlength=size).astype(float)
-    pairs = mask[:, 1:]
-    seen_t = np.array([(pairs & (tags[:, :-1] == a) & (tags[:, 1:] == b)).sum() for a, b in ((0, 1), (1, 0), (1, 1))], float)
     for step in range(1, steps + 1):
-        w, t = theta[:size], np.array([[0, theta[size]], [theta[size + 1], theta[size + 2]]])
-        emit = np.stack([np.zeros(tokens.shape), w[tokens]], axis=2)
-        alpha = np.zeros((n, most, 2))
-        alpha[:, 0] = emit[:, 0]
-        for i in range(1, most):
-            new = _sums(alpha[:, i - 1, :, None] + t[None], 1) + emit[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], new, alpha[:, i - 1])
-        z = _sums(alpha[:, -1], 1)
-        beta = np.zeros((n, most, 2))
-        trans = np.zeros((2, 2))
-        for i in range(most - 2, -1, -1):
-            ahead = t[None] + (emit[:, i + 1] + beta[:, i + 1])[:, None, :]
-            inside = mask[:, i + 1]
-            beta[:, i] = np.where(inside[:, None], _sums(ahead, 2), beta[:, i + 1])
-            joint = np.exp(alpha[:, i, :, None] + ahead - z[:, None, None])
-            trans += joint[inside].sum(axis=0)
-        toxic = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * mask
-        expected = np.bincount(tokens[mask], weights=toxic[mask], minlength=size)
-        grad = np.r_[seen - expected, seen_t - np.array([trans[0, 1], trans[1, 0], trans[1, 1]])] - decay * theta * 0.1
+        grad = gradient(theta, tokens, tags, lengths)[1] - decay * theta * 0.1
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return theta[:size], np.array([[0, theta[size]], [theta[size + 1], theta[size + 2]]])

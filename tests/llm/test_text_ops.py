@@ -337,3 +337,50 @@ def test_surrogates_run_out(spark):
     entities = spark.range(90).selectExpr("'ssn' AS kind", "cast(id + 10 AS string) AS canon")
     got = [(r.canon, r.surrogate) for r in surrogates.distinct_surrogates(entities, "k").collect()]
     assert len({s for _, s in got}) == 90 and not {s for _, s in got} & {c for c, _ in got}
+
+
+def test_chain_gradient():
+    """The likelihood against all tag sequences, its gradient against differences."""
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    lengths = np.array([1, 3, 5])
+    tokens, tags = rng.integers(0, 4, (3, 5)), rng.integers(0, 2, (3, 5))
+    tags[np.arange(5) >= lengths[:, None]] = 0
+    theta = rng.normal(size=7)
+
+    def brute(theta):
+        w, t = theta[:4], np.array([[0, theta[4]], [theta[5], theta[6]]])
+        total = 0.0
+        for x, y, n in zip(tokens, tags, lengths, strict=True):
+            of = lambda s: sum(w[x[i]] * s[i] for i in range(n)) + sum(t[s[i], s[i + 1]] for i in range(n - 1))  # noqa: B023, E731
+            total += of(y) - np.log(sum(np.exp(of(s)) for s in product((0, 1), repeat=int(n))))
+        return total
+
+    got, grad = toxicity.gradient(theta, tokens, tags, lengths)
+    assert abs(got - brute(theta)) < 1e-9
+    steps = np.eye(7) * 1e-6
+    assert np.allclose(grad, [(brute(theta + d) - brute(theta - d)) / 2e-6 for d in steps], atol=1e-5)
+
+
+def test_toxic_spans_after_long_lower_case():
+    """Offsets are those of the text, whatever lower case does to its length."""
+    chain = toxicity.Chain({"idiot$": 1}, np.array([-3.0, 6.0]), np.zeros((2, 2)))
+    text = "İİ foo İstanbul idiot bar baz qux"
+    assert [text[a:b] for a, b in chain.tag(text)[2]] == ["idiot"]
+
+
+def test_quality_weights_minimise_the_loss(spark):
+    """The pairwise logistic loss of the fitted weights is no worse than that of weights near them."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice(["ab", "cd!!", "EF", "g|h", "ij"][: 2 + i % 2 * 3]) for _ in range(30))) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    model = ranking.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    kept = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    x = {i: np.array(ranking.describe(t)) for i, t in docs}
+    diffs = np.array([x[a] - x[b] for a in kept if a % 2 == 0 for b in kept if b % 2])
+    scale = diffs.std(axis=0) + 1e-9
+    loss = lambda w: np.log1p(np.exp(-diffs @ w)).mean() + 1e-3 / 2 * ((w * scale) ** 2).sum()
+    w = np.array(model.weights)
+    assert loss(w) < 0.2 and all(loss(w) < loss(w * f) + 0.02 for f in (0.5, 0.8, 1.25, 2))
+    assert all(model.raw is not None and np.dot(w, x[a]) > np.dot(w, x[b]) for a in kept[:20] if a % 2 == 0 for b in kept[:20] if b % 2)
