@@ -13,6 +13,7 @@ what the vocabulary's tokens cost.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import held_out, small_batches, training_labels, written
 
 _WORD = re.compile(r"\w+")
+_CAPITALS = re.compile("[A-ZÀ-ÖØ-ÞĀ-ɏΑ-ΫА-Я]{4}")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 #: Lengths of the word beginnings that are features beside the whole word.
 BEGINNINGS = (8, 7, 6, 5, 4, 3)
@@ -36,6 +38,9 @@ SHOUTED, BETWEEN = "^", 2
 
 def tokens_of(text: str) -> list[str]:
     """The words of a text, with lower-case letters unless shouted: four or more letters, all of them capitals."""
+    low = text.lower()
+    if len(low) == len(text) and not _CAPITALS.search(text):  # most texts
+        return _WORD.findall(low)
     return [w if len(w) > 3 and w.isupper() and w.isalpha() else w.lower() for w in _WORD.findall(text)]
 
 
@@ -123,6 +128,7 @@ class Chain:
         self.feature = Features(self.known)
         self.step = np.exp(self.transitions)
         self.powers = {0: np.eye(2)}
+        self.steps = {}
 
     def gap(self, n: int) -> np.ndarray:
         """Potential of ``n`` words outside the vocabulary, scaled to a largest entry of 1."""
@@ -138,27 +144,42 @@ class Chain:
             self.powers[n] = got
         return self.powers[n]
 
-    def marginals(self, places: list[int], weights: list[float], n: int) -> np.ndarray:
-        """P(toxic) of the vocabulary's tokens at ``places`` among ``n`` tokens."""
-        emit = [np.array([1.0, np.exp(w)]) for w in weights]
-        alphas, before = [], -1
-        for place, e in zip(places, emit, strict=True):
-            if before < 0:
-                # the first token has no transition into it
-                a = np.ones(2) if place == 0 else np.array([1.0, np.exp(self.other)]) @ self.gap(place - 1) @ self.step
-            else:
-                a = alphas[-1] @ self.gap(place - before - 1) @ self.step
-            a = a * e
-            alphas.append(a / a.sum())
-            before = place
-        beta = self.gap(n - 1 - places[-1]) @ np.ones(2)
-        out = np.zeros(len(places))
+    def between(self, n: int) -> tuple[float, float, float, float]:
+        """From a vocabulary's token over ``n`` others into the next one, as plain numbers row by row."""
+        got = self.steps.get(n)
+        if got is None:
+            got = tuple((self.gap(n) @ self.step).ravel().tolist())
+            if len(self.steps) < 100_000:
+                self.steps[n] = got
+        return got
+
+    def marginals(self, places: list[int], weights: list[float], n: int) -> list[float]:
+        """P(toxic) of the vocabulary's tokens at ``places`` among ``n`` tokens; plain numbers, as the matrices are 2 x 2."""
+        emit = [math.exp(w) for w in weights]
+        if places[0]:
+            x, y = (np.array([1.0, math.exp(self.other)]) @ self.gap(places[0] - 1) @ self.step).tolist()
+        else:
+            x = y = 1.0  # the first token has no transition into it
+        forward = []
+        for i, e in enumerate(emit):
+            if i:
+                p, q, r, s = self.between(places[i] - places[i - 1] - 1)
+                x, y = x * p + y * r, x * q + y * s
+            y *= e
+            total = x + y
+            x, y = x / total, y / total
+            forward.append((x, y))
+        u, v = (self.gap(n - 1 - places[-1]) @ np.ones(2)).tolist()
+        out = [0.0] * len(places)
         for i in range(len(places) - 1, -1, -1):
-            p = alphas[i] * beta
-            out[i] = p[1] / p.sum()
+            x, y = forward[i]
+            out[i] = y * v / (x * u + y * v)
             if i:
-                beta = self.gap(places[i] - places[i - 1] - 1) @ self.step @ (emit[i] * beta)
-                beta = beta / beta.max()
+                p, q, r, s = self.between(places[i] - places[i - 1] - 1)
+                v *= emit[i]
+                u, v = p * u + q * v, r * u + s * v
+                most = max(u, v)
+                u, v = u / most, v / most
         return out
 
     def tag(self, text: str | None, at: float = 0.5) -> tuple[float, float, list[tuple[int, int]]]:
@@ -170,7 +191,7 @@ class Chain:
         p = self.marginals(places, [self.weights[found[i]] for i in places], len(found))
         hot = {i for i, x in zip(places, p, strict=True) if x >= at}
         spans = [m.span() for i, m in enumerate(_WORD.finditer(text)) if i in hot] if hot else []
-        return float(p.max()), float(p.sum()), spans
+        return max(p), sum(p), spans
 
     def score(self, top: float, total: float) -> float:
         a, b, c = self.calibration
