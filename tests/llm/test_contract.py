@@ -91,3 +91,20 @@ def test_surrogates_query(spark, sql):
         assert not before & after
         if not r.n_entities:
             assert r.text == texts[r.doc_id]
+
+
+def test_pipeline_edge_rows(spark):
+    """Null, empty, long and repeated rows and clashing columns pass every stage; an empty table stays one."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    some = [(r.doc_id, r.text) for r in base.limit(40).collect()]
+    rows = [*some, (None, some[0][1]), (900, None), (900, ""), (901, "word " * 30_000), (some[1][0], "one more text\nunder an id that is taken"), some[2]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7, "g", "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, `group` string, kept string")
+    names = docs.columns
+    for start in (docs, docs.limit(0)):
+        now = start
+        for name, stage in pipeline.STAGES[:-1]:
+            now = pipeline.written(stage(spark, now, SF), name)
+            assert now.columns == names
+        packed = pipeline.STAGES[-1][1](spark, now, SF)
+        assert (packed.count() > 0) == (now.count() > 0) == (start is docs)
