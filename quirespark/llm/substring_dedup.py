@@ -292,7 +292,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, base: int = 7, id_col: s
     which each block sends any key once: a passage in a third of all documents comes
     as often as there are blocks.
     """
-    spark = docs.sparkSession
+    spark, base = docs.sparkSession, min(base, window)
     small_batches(spark)
     texts = _bucketed(spark, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_blocks, "id long, text string, row long, block long, bytes long"))
     words = (texts.agg(F.sum("bytes")).first()[0] or 0) // 6

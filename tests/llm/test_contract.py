@@ -10,7 +10,7 @@ import pytest
 from quirespark.llm import registry, simhash
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings".split()
 
 
 @pytest.fixture(scope="module")
