@@ -2,8 +2,10 @@
 
 Spark samples splitters and range-partitions the rows by their bytes, an
 external sort within each range places equal texts side by side, and full
-comparisons of neighbours cut the order into runs. The row identifier is the
-last sort key, so a run of any size may span ranges: pieces that touch the edge
+comparisons of neighbours cut the order into runs. Ranges and the sort within
+them have one order: the first bytes, then a digest in place of the other bytes, then the
+row identifier. So only a range's first and last run can go on in a neighbouring range,
+and a run of any size may span ranges: pieces that touch the edge
 of a range are joined again by their text, of which each range has two at most. A
 run of more than ``MOST`` rows is given in pieces that are joined in the same way,
 so that no row and no task holds all of a large group.
@@ -88,11 +90,12 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | N
     text = F.coalesce(F.col("text"), F.lit("")) if text is None else text
     order = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
     # A splitter is a prefix and a digest, so that the sample stays small whatever the texts' lengths.
+    by = F.substring("content", 1, 24), F.col("text_sha256"), order
     ranged = (
         docs.select(F.col(id_col).cast("long").alias("id"), text.alias("content"))
         .select("id", "content", F.sha2("content", 256).alias("text_sha256"))
-        .repartitionByRange(F.substring("content", 1, 24), "text_sha256", order)
-        .sortWithinPartitions("content", order)
+        .repartitionByRange(*by)
+        .sortWithinPartitions(*by)
     )
     runs = written(ranged.mapInArrow(_runs, _RUNS), "runs")
     first = F.col("ids")[0]

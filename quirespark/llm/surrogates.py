@@ -19,10 +19,11 @@ from quirespark.llm.common import written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _GAP = r"[^\p{L}\p{N}\n]"
-#: Title words of each gender; the name that follows is the entity.
+#: Title words of each gender and of neither; the name that follows is the entity.
 TITLES = {
-    "f": ["Mrs", "Ms", "Miss", "Señora", "Sra", "Frau", "Madame", "Mme", "Госпожа"],
+    "f": ["Mrs", "Ms", "Miss", "Señora", "Sra", "Dra", "Frau", "Madame", "Mme", "Госпожа"],
     "m": ["Mr", "Señor", "Sr", "Herr", "Monsieur", "Господин"],
+    "n": ["Dr", "Prof", "Rev", "Доктор", "Δρ"],
 }
 #: Given names and name syllables by gender and script.
 GIVEN = {
@@ -33,6 +34,8 @@ GIVEN = {
     ("m", "greek"): "Άρης Βασίλης Γιάννης Δήμος Ερμής Ζήσης Ηλίας Θάνος Ίων Κώστας Λέων Μάρκος Νίκος Ορέστης Πέτρος Σπύρος".split(),
     ("m", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Захар Иван Кирилл Лев Марк Никита Олег Павел Роман Семён".split(),
 }
+#: Where a title leaves the gender open, names of both.
+GIVEN |= {("n", script): GIVEN["f", script] + GIVEN["m", script] for script in ("latin", "cyrillic", "greek")}
 SYLLABLES = {
     "latin": "ba de fi go hu ka le mi no pu ra se ti vo wu za".split(),
     "cyrillic": "ба де фи го ху ка ле ми но пу ра се ти во ду за".split(),
@@ -63,7 +66,7 @@ PATTERNS = {
     r"|[sp]k[-_](?:[a-z]+[-_])?[A-Za-z0-9_-]{16,}+|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*+)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)",
-    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "phone": rf"\+\d{{1,3}}{_GAP}{{0,6}}\d{{2,4}}{_GAP}{{1,6}}\d{{3,4}}{_GAP}{{0,6}}\d{{4}}(?!\d)"
     # any other international number of 8 to 15 digits, with single separators and brackets
     r"|\+\d(?:[ .\-/  ‐-―]?\(?\d\)?){7,14}(?!\d)"
@@ -74,10 +77,11 @@ PATTERNS = {
     # cheap looks first, as the look at the title is tried at every position that they pass
     "name_f": rf"(?<= ){_BEGIN}(?<=\b{_title('f')}\.? ){_NAME}",
     "name_m": rf"(?<= ){_BEGIN}(?<=\b{_title('m')}\.? ){_NAME}",
+    "name_n": rf"(?<= ){_BEGIN}(?<=\b{_title('n')}\.? ){_NAME}",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What any match of the patterns holds: two digits with at most three other characters between them, an @, hex digits, a token's beginning or a title.
-_MAY = rf"[0-9][^0-9\n]{{0,3}}[0-9]|@|::|[0-9A-Fa-f]{{32}}|A(?:KI|SI)A|AIza|gh[a-z]_|xox|[sp]k[-_]|eyJ|\b(?:{_title('f')}|{_title('m')})\b"
+_MAY = rf"[0-9][^0-9\n]{{0,3}}[0-9]|@|::|[0-9A-Fa-f]{{32}}|A(?:KI|SI)A|AIza|gh[a-z]_|xox|[sp]k[-_]|eyJ|\b(?:{'|'.join(map(_title, TITLES))})\b"
 
 
 def _escaped(text: Column) -> Column:
@@ -174,7 +178,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, stream: Column) ->
     body = F.substring(keyed(False), F.lit(1), F.length(canon) - 1)
     fit = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(body, d.cast("string"))))[0]
     card = F.concat(body, F.when(F.call_function("luhn_check", canon), fit).otherwise((fit + 1) % 10).cast("string"))
-    found = F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", F.concat(card, more)).when(kind.isin("secret", "ipv6"), keyed(True))
+    found = F.when(kind == "ip", ip).when(kind == "email", email).when(kind == "card", F.concat(card, more))
+    found = found.when(kind == "secret", F.concat(keyed(True), more)).when(kind == "ipv6", F.when(late > 0, wide).otherwise(keyed(True)))
     # an account keeps its country, a token the beginning that says what it is
     found = found.when(kind == "iban", F.concat(keyed(False, 2), more)).when(kind == "token", F.concat(keyed(False, 4), more))
     script = F.lit("latin")
@@ -182,8 +187,9 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, stream: Column) ->
         script = F.when(canon.rlike(letters), other).otherwise(script)
     for name in SYLLABLES:
         ending = lambda least: _sounds(name, F.sequence(F.lit(1), F.least(attempt + least, F.lit(30))), byte)  # noqa: E731, B023
-        for gender in ("f", "m"):
-            given = F.element_at(F.array(*map(F.lit, GIVEN[gender, name])), byte(F.lit(0)) % 16 + 1)
+        for gender in TITLES:
+            known = GIVEN[gender, name]
+            given = F.element_at(F.array(*map(F.lit, known)), byte(F.lit(0)) % len(known) + 1)
             given = F.lower(F.when(attempt > 0, F.concat(given, ending(0))).otherwise(given))
             found = found.when((kind == f"given_{gender}") & (script == name), given)
         found = found.when((kind == "family") & (script == name), ending(4))
@@ -210,7 +216,7 @@ def laid_out(kind: Column, value: Column, new: Column) -> Column:
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, kind, value, n) for each distinct entity of each document."""
     titled = lambda g: F.col("before").rlike(rf"\b{_title(g)}\.? $")
-    kind = F.coalesce(kind_of(F.col("value")), F.when(titled("f"), "name_f").when(titled("m"), "name_m"))
+    kind = F.coalesce(kind_of(F.col("value")), *(F.when(titled(g), f"name_{g}") for g in TITLES))
     return (
         docs.where(F.col(text_col).rlike(_MAY))
         .select(F.col(id_col).alias("doc"), _pieces(F.col(text_col)).alias("p"))
@@ -275,12 +281,16 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         .agg(F.collect_list(F.struct("value", "new")).alias("_es"))
     )
     counts = found.groupBy(F.col("doc").alias("_of")).agg(F.count_distinct("kind", "canon").alias("_distinct"))
-    by_doc = entries.join(counts, F.col("doc").eqNullSafe(F.col("_of"))).select(F.col("doc").alias("_doc"), "_es", "_distinct")
-    has = F.coalesce(F.col(text_col).rlike(_MAY) & (F.size(F.col("_p")) > 1), F.lit(False))
-    marked = docs.withColumn("_p", F.when(F.col(text_col).rlike(_MAY), _pieces(F.col(text_col))))
-    plain = marked.where(~has).select(*docs.columns, F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct"))
+    by_doc = entries.join(counts, F.col("doc").eqNullSafe(F.col("_of"))).select("doc", "_es", "_distinct")
+    # an input row is one struct beside the helpers, so that none of its columns can clash with them
+    held = docs.select(F.struct(*(docs[c].alias(c) for c in docs.columns)).alias("row"))
+    body = F.col("row").getField(text_col)
+    marked = held.withColumn("_p", F.when(body.rlike(_MAY), _pieces(body)))
+    has = F.coalesce(F.size("_p") > 1, F.lit(False)) & F.col("_p").isNotNull()
+    fields = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    plain = marked.where(~has).select(*fields, F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_distinct"))
     rest = marked.where(has)
-    joined = rest.join(by_doc, rest[id_col].eqNullSafe(by_doc["_doc"])).withColumn("_m", F.map_from_entries("_es"))
+    joined = rest.join(by_doc, F.col("row").getField(id_col).eqNullSafe(F.col("doc"))).withColumn("_m", F.map_from_entries("_es"))
     joined = joined.withColumn("_names", F.exists("_es", lambda e: e["value"].startswith("\x01"))).withColumn("_edges", F.lit(_EDGES))
     # capitals as the mention has them
     word = "if(x rlike '^\\\\p{Lu}', coalesce(if(length(x) > 1 and upper(x) = x, upper(_m['\x01' || lower(x)]), initcap(_m['\x01' || lower(x)])), x), x)"
@@ -288,7 +298,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     text = _restored(F.array_join(F.expr(f"transform(_p, (y, i) -> coalesce(if(i % 2 = 1, _m[y], null), {spoken}))"), ""))
     return plain.unionAll(
         joined.select(
-            *(text.alias(c) if c == text_col else rest[c] for c in docs.columns),
+            *(text.alias(c) if c == text_col else field for c, field in zip(docs.columns, fields, strict=True)),
             F.floor(F.size("_p") / 2).cast("long").alias("n_entities"),
             F.col("_distinct").cast("long").alias("n_distinct"),
         )

@@ -22,7 +22,7 @@ from quirespark.llm.common import small_batches, written
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-_HITS = "id long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
+_HITS = "id long, text_hash long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -102,10 +102,11 @@ def contamination(
     item_text: str = "text",
     block_chars: int = 2_000_000,
 ) -> DataFrame:
-    """(id, n_words, n_hit, spans, items): what of each text lies in occurrences of benchmark windows.
+    """(id, text_hash, n_words, n_hit, spans, items): what of each text lies in occurrences of benchmark windows.
 
-    Whole texts are searched. The benchmark is measured first; up to
-    ``block_chars`` characters of it make one set of tables that is sent to all
+    ``text_hash`` is the text's xxhash64, which tells rows with one id apart.
+    Whole texts are searched. The benchmark is measured first; up to about
+    ``block_chars`` characters of it, or one item if that is longer, make one set of tables that is sent to all
     tasks (tables of 2,000,000 characters take about 300 MB in a Python worker),
     and a larger one is searched in several such blocks, whose spans are then
     united for each document. Null texts have no words; null item texts no
@@ -119,7 +120,7 @@ def contamination(
     blocks = -(-total // block_chars) or 1
     found = None
     # a row number that stays the same in each pass over the documents
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     if blocks > 1:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     for b in range(blocks):
@@ -134,11 +135,12 @@ def contamination(
                 out = [hits(t, ready) for t in batch.column("text").to_pylist()]
                 cols = [
                     batch.column("id"),
+                    batch.column("text_hash"),
                     pa.array([o[0] for o in out], pa.int64()),
                     pa.array([[{"s": s, "e": e} for s, e in o[1]] for o in out], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))),
                     pa.array([sorted(o[2]) for o in out], pa.list_(pa.string())),
                 ]
-                names = ["id", "n_words", "spans", "items"]
+                names = ["id", "text_hash", "n_words", "spans", "items"]
                 if "row" in batch.schema.names:
                     cols.append(batch.column("row"))
                     names.append("row")
@@ -148,7 +150,7 @@ def contamination(
         found = one if found is None else found.unionAll(one)
     if blocks > 1:  # as many rows of a document meet as there are blocks
         found = (
-            found.groupBy("row", "id")
+            found.groupBy("row", "id", "text_hash")
             .agg(
                 F.max("n_words").alias("n_words"),
                 F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -158,7 +160,7 @@ def contamination(
             .drop("row")
         )
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["e"] - x["s"]))
-    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return found.select(F.col("id").alias(id_col), "text_hash", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 #: Sorted spans united: each is cut to begin where the spans before it end.

@@ -108,3 +108,23 @@ def test_pipeline_edge_rows(spark):
             assert now.columns == names
         packed = pipeline.STAGES[-1][1](spark, now, SF)
         assert (packed.count() > 0) == (now.count() > 0) == (start is docs)
+
+
+def test_pipeline_judges_rows_not_ids(spark):
+    """Rows that share an id, or have none, are decided each by their own text; helper names may be columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(1, item), (1, "a clean text of its own"), (None, item), (None, "another clean text"), (2, "other")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 7, *"abcd") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _id string, _hash string, _hit string, row string")
+    kept = pipeline.clean(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.text for r in kept.collect()) == ["a clean text of its own", "another clean text", "other"]
+    near = pipeline.near(spark, docs, SF)
+    assert near.columns == docs.columns and near.count() == 4  # of the two equal texts one stays
+
+
+def test_no_id_is_in_no_test_fold(spark):
+    docs = spark.createDataFrame([(None, "some text"), (1, None)], "doc_id long, text string")
+    from quirespark.llm.common import held_out
+
+    assert [r.h for r in docs.select(held_out(docs.doc_id).alias("h")).collect()] == [False, zlib.crc32(b"1") % 5 == 0]

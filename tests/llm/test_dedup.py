@@ -43,6 +43,26 @@ def test_content_sort(spark, keep, most, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_content_sort_over_many_ranges(spark, adaptive):
+    """Texts with one beginning, whose groups straddle ranges: none is split."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rng = random.Random(8)
+    data = [(i, "the same beginning of every text, " + f"{rng.randrange(200):03d}" * rng.choice([1, 40])) for i in range(6000)]
+    want = defaultdict(list)
+    for i, t in data:
+        want[t].append(i)
+    try:
+        for k, v in zip(was, (adaptive, "16", "false"), strict=True):
+            spark.conf.set(k, v)
+        found = content_sort.content_sort_dedup(make(spark, data).repartition(4)).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found} == {i: (min(want[t]), len(want[t]), i == min(want[t])) for i, t in data}
+    assert len(found) == len(data)
+
+
 def test_empty_tables(spark):
     none = make(spark, [])
     assert content_sort.content_sort_dedup(none).count() == 0
@@ -269,3 +289,11 @@ def test_near_duplicates(spark):
     assert sorted(str((r.doc_id, r.group_id)) for r in found) == want
     assert sum(r.kept for r in found) == len(group)
     assert simhash.near_duplicates(make(spark, [])).count() == 0
+
+
+def test_line_dedup_keeps_columns_named_like_its_helpers(spark):
+    rows = [(1, "one line that is long enough\nx"), (2, "one line that is long enough\ny"), (None, "one line that is long enough")]
+    df = spark.createDataFrame([(i, t, *"abcdef") for i, t in rows], "doc_id long, text string, _gone string, _doc string, _hash string, gone string, doc string, text_hash string")
+    found = line_dedup.dedup_lines(df).collect()
+    assert {r.doc_id: r.text for r in found} == {1: rows[0][1], 2: "y", None: rows[2][1]}
+    assert all((r._gone, r._doc, r._hash, r.gone, r.doc, r.text_hash) == tuple("abcdef") for r in found)

@@ -384,3 +384,24 @@ def test_quality_weights_minimise_the_loss(spark):
     w = np.array(model.weights)
     assert loss(w) < 0.2 and all(loss(w) < loss(w * f) + 0.02 for f in (0.5, 0.8, 1.25, 2))
     assert all(model.raw is not None and np.dot(w, x[a]) > np.dot(w, x[b]) for a in kept[:20] if a % 2 == 0 for b in kept[:20] if b % 2)
+
+
+@pytest.mark.parametrize("kind", ["ipv6", "secret"])
+def test_surrogates_of_hex_run_out(spark, kind):
+    """Where all values of a layout are taken, an address gets all groups and a key more digits."""
+    form = (lambda a, b: f"{a:x}::{b:x}") if kind == "ipv6" else (lambda a, b: f"{a:x}{b:x}")
+    entities = spark.createDataFrame([(kind, form(a, b)) for a in range(16) for b in range(16)], "kind string, canon string")
+    got = [(r.canon, r.surrogate) for r in surrogates.distinct_surrogates(entities, "k").collect()]
+    assert len({s for _, s in got}) == 256 and not {s for _, s in got} & {c for c, _ in got}
+
+
+def test_surrogates_leave_code_and_take_neutral_titles(spark):
+    texts = ["std a::b and dead::beef or x::y", "at fe80::1 and 2001:db8::a1", "Dr. Dupont met Prof Anna Kern. Dupont left", "Доктор Иванов"]
+    df = spark.createDataFrame([(i, t, *"abcdef") for i, t in enumerate(texts)], "doc_id long, text string, _p string, _m string, _names string, _edges string, doc string, row string")
+    rows = sorted(surrogates.replace_pii(df, "k").collect())
+    got = [r.text for r in rows]
+    assert got[0] == texts[0]
+    assert "fe80::1" not in got[1] and "2001:db8::a1" not in got[1]
+    assert "Dupont" not in got[2] and "Kern" not in got[2] and re.fullmatch(r"Dr\. (\p{Lu}\w+) met Prof \p{Lu}\w+ \p{Lu}\w+\. \1 left".replace(r"\p{Lu}", "[A-Z]"), got[2])
+    assert "Иванов" not in got[3]
+    assert [(r._p, r._m, r._names, r._edges, r.doc, r.row) for r in rows] == [tuple("abcdef")] * 4
