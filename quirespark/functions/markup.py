@@ -87,11 +87,20 @@ def with_breaks(markup: str, missing: list[int], names: dict[int, str]) -> tuple
     return "".join(line + tag for line, tag in zip(lines, [*lost, ""], strict=True)), [k for k in missing if names[k] != "br"]
 
 
-#: Inline elements of a reader's page and what stands for each of the book's.
-SHOWN = {"em": "em i cite dfn var", "strong": "strong b", "u": "u ins", "s": "s strike del", "code": "code kbd tt"} | {k: k for k in "sup sub small q".split()}
-_SHOWN = {name: element for element, names in SHOWN.items() for name in names.split()}
-#: Class of a span whose own tag speaks of italics, bold or small capitals.
-_LOOKS = ((re.compile(r"\b(?:ital|em)", re.I), "it"), (re.compile(r"\b(?:bold|strong)", re.I), "bd"), (re.compile(r"small-?caps|\bsc\b", re.I), "sc"))
+#: Inline elements of a reader's page for those of the book.
+SHOWN = {
+    "em": "em", "i": "em", "cite": "em", "dfn": "em", "var": "em", "strong": "strong", "b": "strong", "u": "u", "ins": "u", "s": "s", "strike": "s", "del": "s",
+    "sup": "sup", "sub": "sub", "small": "small", "q": "q", "code": "code", "kbd": "code", "tt": "code",
+}
+#: Class of a span by the beginnings of words in its own tag that speak of italics, bold or small capitals.
+LOOKS = {"it": ("ital", "em"), "bd": ("bold", "strong"), "sc": ("small-caps", "smallcaps")}
+
+
+def look_of(opening: str) -> str | None:
+    """The first look that an opening tag names; ``sc`` alone is a name too."""
+    words = re.findall(r"[\w-]+", opening.lower())
+    parts = [*words, *(part for w in words for part in w.split("-"))]
+    return next((look for look, names in LOOKS.items() if any(p.startswith(names) for p in parts) or look in ("sc",) and "sc" in parts), None)
 
 
 def safe_name(name: str) -> str:
@@ -142,10 +151,10 @@ def xhtml(markup: str, tags: dict[int, tuple[str, str, bool]], ids: set[str]) ->
 
 def safe_html(markup: str, tags: dict[int, tuple[str, str, bool]]) -> str:
     """For a reader's page: known inline elements without the book's attributes, each with its number, so that edits can be read back."""
-    element = {k: _SHOWN.get(name.lower(), "span") for k, (name, _, _) in tags.items()}
+    element = {k: SHOWN.get(name.lower(), "span") for k, (name, _, _) in tags.items()}
 
     def opened(k: int) -> str:
-        look = next((c for pattern, c in _LOOKS if pattern.search(tags[k][1])), None) if element[k] == "span" else None
+        look = look_of(tags[k][1]) if element[k] == "span" else None
         return f'<{element[k]} data-k="{k}"' + (f' class="{look}">' if look else ">")
 
     def void(k: int) -> str:

@@ -51,7 +51,10 @@ def matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text"
     words = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(run), F.lit(0)))).alias("word"))
     pairs = words.join(keyed, "word").drop("word").distinct()
     bodies = texts.select(text_id, F.col(text).alias("_text"), folded_term(F.col(text)).alias("_folded"))
-    longer = pairs.where("not single").join(bodies, text_id).where(occurs(F.col("_text"), F.col("term")) | mentions(F.col("_folded"), F.col("term"), folded=True))
+    # a plain search comes first, as a pattern has to be made for each pair
+    own_case = F.contains("_text", "term") & occurs(F.col("_text"), F.col("term"))
+    any_case = F.contains(F.col("_folded"), folded_term(F.col("term"))) & mentions(F.col("_folded"), F.col("term"), folded=True)
+    longer = pairs.where("not single").join(bodies, text_id).where(own_case | any_case)
     found = pairs.where("single").unionByName(longer.select(*pairs.columns))
     named = terms.select("term", "pos", "origin", F.explode(part_names(F.col("term"))).alias("name")).withColumn("word", F.regexp_extract("name", run, 0))
     own = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(run), F.lit(0)))).alias("word"))

@@ -46,10 +46,10 @@ def asof_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary: the first two words of each benchmark item, of every third its first word, with capitals, by the first item that has it."""
+    """Glossary: the first two words of each benchmark item, of every third its first word, as they stand there, by the first item that has it."""
     size = F.when(F.col("item_id") % 3 == 0, 0).otherwise(1)
     words = F.array_join(F.regexp_extract_all(F.regexp_extract("text", r"\p{L}{3,} +\p{L}{3,}", 0), F.lit(r"\p{L}+"), F.lit(0)), " ")
-    term = F.initcap(F.when(size == 0, F.substring_index(words, " ", 1)).otherwise(words))
+    term = F.when(size == 0, F.substring_index(words, " ", 1)).otherwise(words)
     first = table(spark, sf_dir, "benchmark").select(term.alias("term"), F.col("item_id").alias("pos"))
     once = first.where("term <> ''").groupBy("term").agg(F.min("pos").alias("pos"))
     return once.withColumn("origin", F.when(F.col("pos") % 4 == 0, "user").otherwise("auto"))
@@ -160,14 +160,15 @@ def _votes(words, known):
 
 def ngram_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U4, Q12: benchmark items whose 6-word runs a document repeats, with the covered share of runs."""
-    # a run is two hashes of its words, 128 bits; the benchmark's runs are few, so Spark sends them to the documents when they are small
+    # a run is two hashes of its words, 128 bits; the benchmark's runs are few, so Spark sends them to the documents when they are small,
+    # and what repeats is merged among the hits, not within the texts
     run = ", ".join(f"t[i + {k}]" for k in range(6))
-    grams = lambda t: F.expr(f"transform(array({t}), t -> array_distinct(transform(sequence(0, size(t) - 6), i -> struct(xxhash64({run}) AS a, xxhash64(7, {run}) AS b))))[0]")
-    word = lambda: F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    items = table(spark, sf_dir, "benchmark").select("item_id", word().alias("w")).where("size(w) >= 12").select("item_id", grams("w").alias("g"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", word().alias("w")).where("size(w) >= 6").select("doc_id", F.explode(grams("w")).alias("gram"))
-    runs = items.select("item_id", F.size("g").cast("long").alias("n"), F.explode("g").alias("gram"))
-    hits = docs.join(runs, "gram").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    grams = lambda least: F.expr(f"transform(array(w), t -> if(size(t) < {least}, array(), transform(sequence(0, size(t) - 6), i -> struct(xxhash64({run}) AS a, xxhash64(7, {run}) AS b))))[0]")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")
+    items = table(spark, sf_dir, "benchmark").select("item_id", words).select("item_id", F.explode(grams(12)).alias("gram")).distinct()
+    sizes = items.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words).select("doc_id", F.explode(grams(6)).alias("gram"))
+    hits = docs.join(items, "gram").distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared")).join(sizes, "item_id")
     return hits.where(F.col("shared") * 2 >= F.col("n")).select("doc_id", "item_id", "shared", "n")
 
 
@@ -199,7 +200,7 @@ cuts AS (SELECT doc_id, i AS start, src AS title, CAST(length(src) % 3 AS BIGINT
 allcuts AS (SELECT * FROM cuts UNION ALL SELECT doc_id, 0, NULL, 0 FROM sizes WHERE doc_id NOT IN (SELECT doc_id FROM cuts WHERE start = 0)),
 ch AS (SELECT doc_id, start, coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), n) AS "end", title, depth FROM allcuts JOIN sizes USING (doc_id))"""
 _FOLD = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
-_TERMS = r"""terms AS (SELECT list_aggregate(list_transform(string_split(t, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') AS term, min(item_id) AS pos
+_TERMS = r"""terms AS (SELECT t AS term, min(item_id) AS pos
   FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN split_part(w, ' ', 1) ELSE w END AS t
         FROM (SELECT item_id, regexp_replace(regexp_extract(text, '\p{L}{3,} +\p{L}{3,}', 0), ' +', ' ') AS w FROM benchmark)) WHERE t <> '' GROUP BY 1)"""
 #: Words between blanks, of two neighbours the end of the first and the beginning of the second; joined to terms by equality.
@@ -212,7 +213,7 @@ word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}
 named AS (SELECT term, pos, unnest(string_split(term, ' ')) AS name FROM terms),
 own AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS name FROM documents),
 hit AS (SELECT doc_id, term, pos, 3 AS s FROM near JOIN forms USING (one, two) WHERE one <> '' AND two <> '' UNION ALL SELECT doc_id, term, pos, 3 FROM word JOIN forms USING (one, two)
-        UNION ALL SELECT doc_id, term, pos, 2 FROM own JOIN named USING (name) WHERE length(name) >= 4 AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in gl.STOP)})),
+        UNION ALL SELECT doc_id, term, pos, 2 FROM own JOIN named USING (name) WHERE length(name) >= 4 AND regexp_matches(name, '^\p{{Lu}}') AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in gl.STOP)})),
 found AS (SELECT doc_id, term, pos, CAST(max(s) + CAST(pos % 4 = 0 AS INT) AS BIGINT) AS score FROM hit GROUP BY doc_id, term, pos)"""
 _VOTE = {c: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws) + ")))" for c, ws in FUNCTION_WORDS.items()}
 ORACLES = {

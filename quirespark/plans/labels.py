@@ -137,7 +137,8 @@ def _chain(text: str, patterns) -> str:
 
 
 _LINE = "split_part(text, chr(10), 1)"
-_REF = "|".join(f"(?:{p})" for p in lb.REFERENCE.values()).replace("'", "''")
+_CLASS = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{c}'" for c, p in ((c, p.replace("'", "''")) for c, p in lb.TOKENS.items()))
+_MARKS = "|".join(f"(?:{p})" for p in lb.MARKS.values())
 _UNLIGATED = "text"
 for _a, _b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("­", "")):
     _UNLIGATED = f"replace({_UNLIGATED}, '{_a}', '{_b}')"
@@ -166,7 +167,8 @@ SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text || '  bold  end', '
     "translatable_text": f"SELECT doc_id, md5({_chain(chr(39) + ' ' + chr(39) + ' || text || ' + chr(39) + ' doi: 10.1000/xyz123 see https://a.example/b ISBN 978-0-306-40615-7 end' + chr(39), lb.VERBATIM)}) AS text_md5 FROM documents",
     "reference_lines": f"""
 SELECT doc_id, line_no FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-WHERE regexp_matches(line || CASE length(line) % 6 WHEN 0 THEN ' (1998)' WHEN 1 THEN ' see pp. 23' WHEN 2 THEN ' et al.' WHEN 3 THEN ' New York: Random House, 1998' ELSE '' END, '{_REF}')""",
+WHERE regexp_matches(list_aggregate(list_transform(list_filter(regexp_split_to_array(line || CASE length(line) % 6 WHEN 0 THEN ' (1998)' WHEN 1 THEN ' see pp. 23' WHEN 2 THEN ' et al.' WHEN 3 THEN ' New York: Random House, 1998' ELSE '' END, '\\s+'),
+  lambda x: x <> ''), lambda x: CASE {_CLASS} ELSE 'x' END), 'string_agg', ''), '{_MARKS}')""",
     "reply_tails": "SELECT conv_id, turn, 'I cannot go on ' || turn AS tail FROM conversations",
     "elided_texts": """
 SELECT doc_id, CAST(length(t) AS BIGINT) AS chars, md5(t) AS text_md5 FROM (SELECT doc_id, CASE WHEN length(text) > 2800 THEN text[1:2100] || chr(10) || '[…]' || chr(10) || text[length(text) - 699:] ELSE text END AS t FROM documents)""",
