@@ -2,50 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirespark.functions import labels as lb
 from quirespark.functions import markup as mk
 from quirespark.functions import quality as qa
+from quirespark.functions.package import declared_utf8, in_language, resolved_path, short_hash
 from quirespark.operators import folds
 from quirespark.session import table
 
 
-def resolved_path(folder: Column, href: Column) -> Column:
-    """The archive entry that a reference from ``folder`` names: decoded, without query and fragment, dot segments worked out."""
-    bare = F.regexp_extract(href, r"(?s)^[^?#]*", 0)
-    decoded = F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
-    parts = F.filter(F.split(F.concat_ws("/", F.nullif(folder, F.lit(".")), decoded), "/"), lambda x: ~x.isin("", "."))
-    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
-    return F.array_join(kept, "/")
-
-
-def declared_utf8(source: Column) -> Column:
-    """An XML declaration that names an encoding names UTF-8."""
-    return F.regexp_replace(source, r"(?i)^(\s*<\?xml\b[^>]*\bencoding\s*=\s*)(?:\"[^\"]*\"|'[^']*')", "$1\"utf-8\"")
-
-
-def in_language(source: Column, language: Column) -> Column:
-    """The html element's lang and xml:lang name ``language``; the element's other attributes stay."""
-    tag = F.regexp_extract(source, r"(?i)<html\b[^>]*>", 0)
-    bare = F.regexp_replace(tag, r"(?i)\s(?:xml:)?lang\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
-    named = F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit(' xml:lang="'), language, F.lit('" lang="'), language, F.lit('">'))
-    return F.when(tag == "", source).otherwise(F.replace(source, tag, named))
+def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the entries that the links and images of each page name, from the folder of its own path."""
+    p = table(spark, sf_dir, "pages")
+    hrefs = F.regexp_extract_all("html", F.lit(r"\b(?:href|src)=\"([^\"]*)\""), F.lit(1))
+    folder = F.regexp_extract("url", r"://[^/]*/(?:(.*)/)?", 1)
+    each = p.select("page_id", folder.alias("folder"), F.explode(F.array_distinct(hrefs)).alias("href"))
+    return each.select("page_id", "href", resolved_path(F.col("folder"), F.col("href")).alias("path"))
 
 
-def archive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entries that references of every form name."""
-    p, i = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
-    forms = [("plain", F.concat(i, F.lit(".xhtml#top"))), ("up", F.concat(F.lit("../img/./a%20"), i, F.lit(".png?x=1"))), ("far", F.concat(F.lit("../../../"), i)), ("broken", F.concat(F.lit("%zz"), i))]
-    each = p.select("page_id", F.explode(F.array(*(F.struct(F.lit(k).alias("form"), h.alias("href")) for k, h in forms))).alias("f"))
-    return each.select("page_id", "f.form", resolved_path(F.lit("OEBPS/text"), F.col("f.href")).alias("path"))
+def short_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the short hash of each url, over its UTF-16 units."""
+    return table(spark, sf_dir, "pages").select("page_id", short_hash(F.concat("url", F.lit("é€😀"))).alias("hash"))
 
 
 def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages declared as UTF-8 and in the language of their path's first part."""
+    """pages declared as UTF-8 and in the language of their path's first part."""
     language = F.coalesce(F.nullif(F.regexp_extract("url", r"://[^/]*/([a-z]{2})/", 1), F.lit("")), F.lit("pt-BR"))
     html = F.regexp_replace(F.col("html"), r"(?i)<html\b[^>]*>", "<html dir='ltr' lang='xx'>")
     source = F.concat(F.lit("<?xml version='1.0' encoding='latin-1'?>"), html)
@@ -67,7 +51,7 @@ def accepted_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rendered_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """turns as a book's XHTML and as a page's HTML, with crossing tags and a repeated id."""
+    """turns as a book's XHTML and as a page's HTML, with crossing tags and a repeated id."""
     tags = [(1, "i", '<i id="a">', False), (2, "span", '<span id="a" class="bold">', False), (3, "br", "<br/>", True), (4, "img", '<img src="x"/>', True)]
     known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(o).alias("opening"), F.lit(v).alias("void")) for k, n, o, v in tags))
     markup = F.concat(F.lit("<i_1>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("<span_2>b</i_1>c</span_2><br_3/><img_4/><z_9>d</z_9>"))
@@ -83,11 +67,23 @@ def wallet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.wallet(e, "user_id", ["us", "event_id"], "action", "n")
 
 
-QUERIES = {f.__name__: f for f in (archive_paths, page_headers, accepted_outputs, rendered_markup, wallet_events)}
+QUERIES = {f.__name__: f for f in (archive_paths, short_hashes, page_headers, accepted_outputs, rendered_markup, wallet_events)}
 ORACLES = {
-    "archive_paths": """
-SELECT page_id, form, path FROM (SELECT page_id, unnest([{'form': 'plain', 'path': 'OEBPS/text/' || page_id || '.xhtml'}, {'form': 'up', 'path': 'OEBPS/img/a ' || page_id || '.png'},
-  {'form': 'far', 'path': CAST(page_id AS VARCHAR)}, {'form': 'broken', 'path': 'OEBPS/text/%zz' || page_id}], recursive := true) FROM pages)""",
+    # an archive has no parent folder, so what leads above it begins again at the top
+    "archive_paths": r"""
+WITH RECURSIVE h AS (SELECT page_id, regexp_extract(url, '://[^/]*/(?:(.*)/)?', 1) AS folder, unnest(list_distinct(regexp_extract_all(html, '\b(?:href|src)="([^"]*)"', 1))) AS href FROM pages),
+p AS (SELECT page_id, href, list_filter(string_split(CASE WHEN folder = '' THEN '' ELSE folder || '/' END || url_decode(replace(regexp_extract(href, '^[^?#]*', 0), '+', '%2B')), '/'), lambda x: x NOT IN ('', '.')) AS w FROM h),
+f AS (SELECT page_id, href, w, 0 AS i, CAST([] AS VARCHAR[]) AS done FROM p UNION ALL
+      SELECT page_id, href, w, i + 1, CASE WHEN w[i + 1] = '..' THEN done[:greatest(len(done) - 1, 0)] ELSE list_append(done, w[i + 1]) END FROM f WHERE i < len(w))
+SELECT page_id, href, array_to_string(done, '/') AS path FROM f WHERE i = len(w)""",
+    "short_hashes": r"""
+WITH RECURSIVE c AS (SELECT page_id, unnest(string_split(url || 'é€😀', '')) AS c, unnest(range(len(string_split(url || 'é€😀', '')))) AS k FROM pages),
+u AS (SELECT page_id, list(x ORDER BY k, j) AS u FROM (
+  SELECT page_id, k, unnest(CASE WHEN n < 65536 THEN [n] ELSE [55296 + ((n - 65536) >> 10), 56320 + ((n - 65536) & 1023)] END) AS x, unnest(CASE WHEN n < 65536 THEN [0] ELSE [0, 1] END) AS j
+  FROM (SELECT page_id, k, CAST(unicode(c) AS BIGINT) AS n FROM c)) GROUP BY page_id),
+f AS (SELECT page_id, u, 0 AS i, 2166136261::HUGEINT AS a, xor(16777619, len(u))::HUGEINT AS b FROM u UNION ALL
+      SELECT page_id, u, i + 1, (xor(a::BIGINT, u[i + 1])::HUGEINT * 16777619) % 4294967296, (xor(b::BIGINT, u[i + 1])::HUGEINT * 1540483477) % 4294967296 FROM f WHERE i < len(u))
+SELECT page_id, left(lpad(lower(to_hex(a::BIGINT)), 8, '0') || lpad(lower(to_hex(b::BIGINT)), 8, '0'), 12) AS hash FROM f WHERE i = len(u)""",
     "page_headers": r"""
 SELECT page_id, md5('<?xml version=''1.0'' encoding="utf-8"?>' || regexp_replace(html, '(?i)<html\b[^>]*>', '<html dir=''ltr'' xml:lang="' || l || '" lang="' || l || '">', 'g')) AS html_md5
 FROM (SELECT page_id, html, coalesce(nullif(regexp_extract(url, '://[^/]*/([a-z]{2})/', 1), ''), 'pt-BR') AS l FROM pages)""",
