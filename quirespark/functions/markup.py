@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from html.parser import HTMLParser
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 _TAG = re.compile(r"<\s*(/?)\s*([A-Za-z][\w-]*)_(\d+)\s*(/?)\s*>")
 #: A line end, written plainly or as an escaped tag, with the blanks around it.
@@ -197,6 +199,120 @@ def repair(markup: pa.Array, source: pa.Array) -> pa.Array:
     return pa.array(rows, pa.struct([("markup", pa.string()), ("missing", pa.list_(pa.int32())), ("issues", pa.int32())]))
 
 
+class _EditReader(HTMLParser):
+    """A page's edited HTML as a tree: texts, breaks, numbered elements of the book, and what the reader has added."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.tree: list[dict] = []
+        self.open: list[tuple[str, list[dict]]] = [("", self.tree)]
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        given = dict(attrs)
+        number = given.get("data-k") or ""
+        node: dict = {"c": []}
+        if number.isascii() and number.isdigit():
+            node["k"] = int(number)
+        elif tag == "br":
+            node = {"br": True}
+        elif tag in ("em", "i", "strong", "b"):
+            node["f"] = SHOWN[tag]
+        self.open[-1][1].append(node)
+        if tag not in ("br", "img", "hr", "wbr", "input"):
+            self.open.append((tag, node.setdefault("c", [])))
+
+    def handle_endtag(self, tag: str) -> None:
+        at = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data: str) -> None:
+        self.open[-1][1].append({"x": data})
+
+
+def edit_tree(page: str) -> list[dict]:
+    """The edit tree of a page's HTML: nodes with ``x`` (text), ``br``, ``k`` (number of a tag of the book) or ``f`` (em or strong), children in ``c``."""
+    reader = _EditReader()
+    reader.feed(page)
+    reader.close()
+    return reader.tree
+
+
+#: Fixed value: levels below the first that an edit may have.
+EDIT_DEPTH = 20
+
+
+def from_edit(tree: list[dict], tags: dict[int, tuple[str, str, bool]]) -> tuple[str, dict[int, tuple[str, str, bool]]]:
+    """Markup of an edit tree, and the tags it has added, numbered on from the largest.
+
+    Unknown numbers and other nodes give their children; elements left without
+    content go; what lies deeper than ``EDIT_DEPTH`` is cut; white space collapses.
+    """
+    added: dict[int, tuple[str, str, bool]] = {}
+    numbers = count(max(tags, default=0) + 1)
+    written: list[str] = []
+    # a stack of what is still to be written: a node with its depth, or an element to be closed with where it was opened
+    todo: list[tuple[dict | str, int]] = [(n, 0) for n in reversed(tree)]
+    while todo:
+        node, depth = todo.pop()
+        if isinstance(node, str):
+            name, new = node.split("|")
+            if len(written) == depth + 1:
+                written.pop()
+            else:
+                label = name
+                if new:  # numbers of added elements are dealt when they end, inner ones first
+                    number = next(numbers)
+                    added[number] = (name, f"<{name}>", False)
+                    label = f"{name}_{number}"
+                written[depth] = f"<{label}>"
+                written.append(f"</{label}>")
+            continue
+        if isinstance(node.get("x"), str):
+            if node["x"]:
+                written.append(html.escape(node["x"], quote=False))
+            continue
+        k, f = node.get("k"), node.get("f")
+        tag = tags.get(k) if isinstance(k, int) and not isinstance(k, bool) else None
+        if node.get("br"):
+            number = next(numbers)
+            added[number] = ("br", "<br/>", True)
+            written.append(f"<br_{number}/>")
+            continue
+        if tag is not None and tag[2]:
+            written.append(f"<{safe_name(tag[0])}_{k}/>")
+            continue
+        element = f"{safe_name(tag[0])}_{k}|" if tag is not None else f"{f}|new" if not isinstance(k, int) and f in ("em", "strong") else None
+        if element:
+            todo.append((element, len(written)))
+            written.append("")
+        if depth < EDIT_DEPTH:
+            todo += [(n, depth + 1) for n in reversed(node.get("c") or [])]
+    return " ".join("".join(written).split()), added
+
+
+EDITED = StructType(
+    [
+        StructField("markup", StringType()),
+        StructField("added", ArrayType(StructType([StructField("k", IntegerType()), StructField("name", StringType()), StructField("opening", StringType()), StructField("void", BooleanType())]))),
+    ]
+)
+
+
+@F.arrow_udf(EDITED)
+def edited(page: pa.Array, tags: pa.Array) -> pa.Array:
+    """A page's edited HTML back as markup, with the tags that the edit has added; ``tags`` is an array of (k, name, opening, void)."""
+    rows = []
+    for text, known in zip(page.to_pylist(), tags.to_pylist(), strict=True):
+        if text is None:
+            rows.append(None)
+            continue
+        markup, added = from_edit(edit_tree(text), {t["k"]: (t["name"], t["opening"], t["void"]) for t in known or []})
+        rows.append({"markup": markup, "added": [{"k": k, "name": n, "opening": o, "void": v} for k, (n, o, v) in sorted(added.items())]})
+    kind = pa.struct([("k", pa.int32()), ("name", pa.string()), ("opening", pa.string()), ("void", pa.bool_())])
+    return pa.array(rows, pa.struct([("markup", pa.string()), ("added", pa.list_(kind))]))
+
+
 def without_reasoning(text: Column) -> Column:
     """Everything up to the last closing think tag before the first segment goes."""
     return F.regexp_replace(text, r"(?is)^(?:(?!<seg\s+id).)*</think>", "")

@@ -59,6 +59,16 @@ def rendered_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", "turn", F.md5("r.xhtml").alias("xhtml_md5"), F.md5("r.html").alias("html_md5"))
 
 
+def edited_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turns rendered for a reader's page and read back, with emphasis and a break that the reader has added."""
+    tags = [(1, "i", '<i id="a">', False), (2, "span:x", '<span id="a">', False), (3, "br", "<br/>", True), (4, "img", '<img src="x"/>', True)]
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(n).alias("name"), F.lit(o).alias("opening"), F.lit(v).alias("void")) for k, n, o, v in tags))
+    markup = F.concat(F.lit("<i_1>"), F.replace("text", F.lit("<"), F.lit(" ")), F.lit("<span_2>b</span_2></i_1><br_3/><img_4/>"))
+    page = F.concat(mk.rendered(markup, known)["html"], F.lit("<div><em>x <b>y &lt; z</b></em></div><strong></strong><br>"))
+    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", mk.edited(page, known).alias("e"))
+    return r.select("conv_id", "turn", F.md5("e.markup").alias("markup_md5"), F.array_join(F.transform("e.added", lambda t: F.concat_ws(":", t["k"].cast("string"), t["name"])), ",").alias("added"))
+
+
 def wallet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance and free credits of each user after every grant, reservation, capture and release."""
     what = F.when(F.col("event_type") == "signup", "grant").when(F.col("event_type") == "purchase", "reserve").when(F.col("event_type") == "error", "release").otherwise("capture")
@@ -67,7 +77,7 @@ def wallet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.wallet(e, "user_id", ["us", "event_id"], "action", "n")
 
 
-QUERIES = {f.__name__: f for f in (archive_paths, short_hashes, page_headers, accepted_outputs, rendered_markup, wallet_events)}
+QUERIES = {f.__name__: f for f in (archive_paths, short_hashes, page_headers, accepted_outputs, rendered_markup, edited_markup, wallet_events)}
 ORACLES = {
     # an archive has no parent folder, so what leads above it begins again at the top
     "archive_paths": r"""
@@ -90,6 +100,9 @@ FROM (SELECT page_id, html, coalesce(nullif(regexp_extract(url, '://[^/]*/([a-z]
     "rendered_markup": """
 SELECT conv_id, turn, md5('<i id="a">' || t || '<span class="bold">b</span></i>c<br/><img src="x"/>d') AS xhtml_md5,
   md5('<em data-k="1">' || t || '<span data-k="2" class="bd">b</span></em>c<br data-k="3"><span data-k="4" data-v="1" class="inline-object" contenteditable="false"></span>d') AS html_md5
+FROM (SELECT conv_id, turn, replace(replace(replace(text, '<', ' '), '&', '&amp;'), '>', '&gt;') AS t FROM conversations)""",
+    "edited_markup": r"""
+SELECT conv_id, turn, md5(trim(regexp_replace('<i_1>' || t || '<span-x_2>b</span-x_2></i_1><br_3/><img_4/><em_6>x <strong_5>y &lt; z</strong_5></em_6><br_7/>', '\s+', ' ', 'g'))) AS markup_md5, '5:strong,6:em,7:br' AS added
 FROM (SELECT conv_id, turn, replace(replace(replace(text, '<', ' '), '&', '&amp;'), '>', '&gt;') AS t FROM conversations)""",
     "wallet_events": """
 WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id, event_type AS k, CAST(floor(coalesce(value, 0)) AS BIGINT) AS v FROM events),
