@@ -12,6 +12,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], Any], step: Callable, out: dict[str, str]) -> DataFrame:
@@ -46,6 +47,83 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[
     return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def ordered_merge(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], Any], step: Callable, end: Callable, out: dict[str, str]) -> DataFrame:
+    """``keys`` with the rows that a fold gives, which may be fewer than it reads.
+
+    ``step(state, row values)`` returns the new state and a list of output tuples;
+    ``end(state)`` the outputs left when a key's rows are over. One state is held at a time.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType([*df.select(*keys).schema.fields, *StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in out.items())).fields])
+    arrow = to_arrow_schema(schema)
+    cols = list(dict.fromkeys([*keys, *order, *inputs]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, first = None, None, True
+        made: list[tuple] = []
+
+        def given():
+            columns = list(zip(*made, strict=True)) or [()] * len(arrow.names)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            data = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for k, values in zip(zip(*(data[c] for c in keys), strict=True), zip(*(data[c] for c in inputs), strict=True), strict=True):
+                if first or k != key:
+                    if not first:
+                        made += [(*key, *o) for o in end(state)]
+                    key, state, first = k, start(), False
+                state, results = step(state, *values)
+                made += [(*k, *o) for o in results]
+            if made:
+                yield given()
+        if not first:
+            made += [(*key, *o) for o in end(state)]
+            yield given()
+
+    return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def appended(runs: list[list] | None, line: list[list]) -> list[list]:
+    """A paragraph's runs [text, italic, bold] with one more line: a hyphen at a line's end goes where a small letter follows, runs of one style are one."""
+    line = [list(r) for r in line]
+    line[0][0] = line[0][0].lstrip()
+    if not runs:
+        return line
+    last = runs[-1][0].rstrip()
+    split = len(last) > 1 and last[-1] == "-" and last[-2].isalpha() and line[0][0][:1].islower()
+    runs = [*runs[:-1], [last[:-1] if split else last + " ", *runs[-1][1:]]]
+    for run in line:
+        if runs[-1][1:] == run[1:]:
+            runs[-1] = [runs[-1][0] + run[0], *run[1:]]
+        else:
+            runs.append(run)
+    return runs
+
+
+def merged_lines(df: DataFrame, key: str, order: str, runs: str, begins: str) -> DataFrame:
+    """(key, para, runs): paragraphs of the lines of each key; ``runs`` is an array of (text, italic, bold), a line for which ``begins`` holds begins a paragraph.
+
+    Lines without runs are left out.
+    """
+
+    def step(state, line, new):
+        para, held = state
+        if not line:
+            return state, []
+        line = [[r["text"] or "", bool(r["italic"]), bool(r["bold"])] for r in line]
+        if held and new:
+            return (para + 1, appended(None, line)), done(state)
+        return (para, appended(held, line)), []
+
+    def done(state):
+        return [(state[0], [{"text": t, "italic": i, "bold": b} for t, i, b in state[1]])] if state[1] else []
+
+    return ordered_merge(df, [key], [order], [runs, begins], lambda: (0, None), step, done, {"para": "long", "runs": "array<struct<text:string,italic:boolean,bold:boolean>>"})
+
+
 def greedy_batches(df: DataFrame, key: str, order: str, size: str, most_size: int, most_rows: int = 120) -> DataFrame:
     """(key, order, batch): rows fill a batch until size or count would pass the limit; a larger row is a batch of its own."""
 

@@ -131,11 +131,22 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("orders"), F.sum(F.when(state == "refund", F.col("paid"))).cast("double").alias("refunded"))
 
 
+def merged_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of each document as paragraphs, which begin with a capital behind a sentence's end; lines with a quotation mark are italic."""
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    lines = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", "i", line.alias("line")).where("line <> ''")
+    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("i"))
+    begins = F.coalesce(before.rlike(r"[.!?]$") & F.col("line").rlike(r"^\p{Lu}"), F.lit(True))
+    runs = F.array(F.struct(F.col("line").alias("text"), F.contains("line", F.lit('"')).alias("italic"), F.lit(False).alias("bold")))
+    found = folds.merged_lines(lines.select("doc_id", "i", runs.alias("runs"), begins.alias("begins")), "doc_id", "i", "runs", "begins")
+    return found.select("doc_id", "para", F.size("runs").cast("long").alias("runs"), F.md5(F.array_join(F.transform("runs", lambda r: r["text"]), "")).alias("text_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         greedy_batches, chapter_groups, word_cuts, binding_assign, line_cluster, breaker_state, paced_requests, token_window_60s, quota_daily_tz,
-        quota_left, hold_sessions, daily_preview_limit, review_reset, retry_waits, next_resets, order_states,
+        quota_left, hold_sessions, daily_preview_limit, review_reset, retry_waits, next_resets, order_states, merged_paragraphs,
     )
 }
 _E = "(SELECT *, epoch_us(ts) AS us, CAST(floor(coalesce(value, 0)) AS BIGINT) AS tokens FROM events)"
@@ -159,6 +170,13 @@ _PICK = f"coalesce(list_filter(s.walk, lambda x: NOT list_contains(recent, ({_FA
 _CUT = "(held + s.n > 800 OR c >= 3)"
 _GCUT = "(hc + s.chars > 24000 OR hs + s.segments > 120 OR c >= 40)"
 ORACLES = {
+    "merged_paragraphs": r"""
+WITH l AS (SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+b AS (SELECT *, lag(line) OVER w AS prev FROM l WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, sum(CAST(coalesce(regexp_matches(prev, '[.!?]$') AND regexp_matches(line, '^\p{Lu}'), true) AS INT)) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para FROM b),
+n AS (SELECT *, lead(line) OVER w AS next, coalesce(contains(line, '"') <> lag(contains(line, '"')) OVER w, true) AS turns FROM p WINDOW w AS (PARTITION BY doc_id, para ORDER BY i))
+SELECT doc_id, CAST(para AS BIGINT) AS para, CAST(count(*) FILTER (WHERE turns) AS BIGINT) AS runs,
+       md5(string_agg(CASE WHEN next IS NULL THEN line WHEN regexp_matches(line, '\p{L}-$') AND regexp_matches(next, '^\p{Ll}') THEN left(line, -1) ELSE line || ' ' END, '' ORDER BY i)) AS text_md5 FROM n GROUP BY doc_id, para""",
     "binding_assign": f"""
 WITH RECURSIVE s AS (SELECT c_nationkey, c_custkey, c_custkey % 4 = 0 AS covered, list_transform(range(9), lambda i: (h % 9 + i * (1 + (h >> 8) % 8)) % 9) AS walk,
   row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM (SELECT *, {_FNV} AS h FROM customer)),

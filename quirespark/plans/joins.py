@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quirespark.functions import text as tx
 from quirespark.operators import glossary as gl
 from quirespark.operators import intervals as iv
+from quirespark.operators import language as lg
 from quirespark.plans.text import sql_words
 from quirespark.session import table
 
@@ -172,6 +173,19 @@ def ngram_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.where(F.col("shared") * 2 >= F.col("n")).select("doc_id", "item_id", "shared", "n")
 
 
+def language_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All languages for each document by trigram distance, from profiles counted over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return lg.ranked(docs, lg.profiles(docs)).select("doc_id", "lang", F.col("rank").cast("long").alias("rank"), "distance", F.round("score", 9).alias("score"))
+
+
+def language_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of 200 characters or more by their trigrams, others by what they declare, where that differs from what they declare."""
+    docs = table(spark, sf_dir, "documents")
+    found = lg.detected(docs, lg.profiles(docs), F.col("lang")).withColumnRenamed("doc_id", "id")
+    return docs.join(found, F.col("doc_id") == F.col("id")).where("not (lang <=> language)").select("doc_id", "lang", "language")
+
+
 def offer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every service level for each customer nation, a small cross product."""
     levels = spark.createDataFrame([("gratis", 1), ("padrao", 2), ("premium", 3)], "level string, factor long")
@@ -190,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chapter_intervals, interval_join, asof_block, glossary_match, glossary_topk, glossary_merge, glossary_upsert, toc_label_precedence,
-        fill_skeleton, dedup_first, repeated_outputs, provider_route, language_guess, ngram_echo, offer_rows, last_in_doc,
+        fill_skeleton, dedup_first, repeated_outputs, provider_route, language_guess, language_ranking, language_detected, ngram_echo, offer_rows, last_in_doc,
     )
 }
 _L = "(SELECT doc_id, unnest(l) AS src, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -216,7 +230,17 @@ hit AS (SELECT doc_id, term, pos, 3 AS s FROM near JOIN forms USING (one, two) W
         UNION ALL SELECT doc_id, term, pos, 2 FROM own JOIN named USING (name) WHERE length(name) >= 4 AND regexp_matches(name, '^\p{{Lu}}') AND lower(name) NOT IN ({", ".join(f"'{w}'" for w in gl.STOP)})),
 found AS (SELECT doc_id, term, pos, CAST(max(s) + CAST(pos % 4 = 0 AS INT) AS BIGINT) AS score FROM hit GROUP BY doc_id, term, pos)"""
 _VOTE = {c: "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in ws) + ")))" for c, ws in FUNCTION_WORDS.items()}
+_GRAMS = r"""t AS (SELECT doc_id, lang, length(text) AS chars, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) || ' ' AS s FROM documents),
+g AS (SELECT doc_id, lang, substr(s, i, 3) AS gram FROM (SELECT doc_id, lang, s, unnest(range(1, length(s) - 1)) AS i FROM t WHERE length(s) > 2)),
+own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) AS place FROM g GROUP BY doc_id, gram QUALIFY place <= 300),
+prof AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS place FROM g WHERE lang <> '' GROUP BY lang, gram QUALIFY place <= 300),
+d AS (SELECT doc_id, l.lang, CAST(sum(coalesce(abs(own.place - prof.place), 300)) AS BIGINT) AS distance, count(*) AS n
+      FROM own CROSS JOIN (SELECT DISTINCT lang FROM prof) l LEFT JOIN prof ON prof.lang = l.lang AND prof.gram = own.gram GROUP BY doc_id, l.lang),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) AS rank, min(distance) OVER (PARTITION BY doc_id) AS least FROM d)"""
 ORACLES = {
+    "language_ranking": f"""WITH {_GRAMS} SELECT doc_id, lang, rank, distance, CASE WHEN n * 300 = least THEN 1 ELSE round(1 - (distance - least)::DOUBLE / (n * 300 - least), 9) END AS score FROM r""",
+    "language_detected": f"""WITH {_GRAMS} SELECT t.doc_id, t.lang, CASE WHEN chars >= 200 THEN coalesce(r.lang, t.lang) ELSE t.lang END AS language
+FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND rank = 1 WHERE t.lang IS DISTINCT FROM CASE WHEN chars >= 200 THEN coalesce(r.lang, t.lang) ELSE t.lang END""",
     "chapter_intervals": f'WITH {_CH} SELECT doc_id, start, "end", title, depth FROM ch',
     "interval_join": f"""WITH {_CH} SELECT ch.doc_id, start, CAST(sum({sql_words('src')}) AS BIGINT) AS words, count(*) AS segments
 FROM lines JOIN ch ON lines.doc_id = ch.doc_id AND i >= start AND i < "end" GROUP BY ALL""",
