@@ -325,9 +325,38 @@ def reply_segments(text: Column) -> Column:
     return F.transform(found, lambda s: F.struct(F.regexp_extract(s, r"(\d+)", 1).cast("long").alias("id"), body(s).alias("body")))
 
 
-def new_terms(text: Column) -> Column:
-    """Array of (term, translation, kind) lines of a reply's block of new terms, at most 20."""
-    block = F.regexp_extract(text, r"(?s)<new_terms>(.*?)</new_terms>", 1)
+#: What gives a reply its structure.
+_MARK = r"(?i)<seg\s+id\s*=[^>]*>|</seg\s*>|<new_terms>|</new_terms>|</?think>"
+
+
+def reasoning_marks(text: Column) -> Column:
+    """(open, close): where think tags stand, counted from 0, but for those between a segment's own tags, which are the book's."""
+    pieces, marks = F.split(text, _MARK, -1), F.transform(F.regexp_extract_all(text, F.lit(_MARK), F.lit(0)), F.lower)
+
+    def placed(s: Column) -> Column:
+        p, m = s["p"], s["m"]
+        # where each mark begins: all pieces up to it and all marks before it
+        at = F.aggregate(
+            F.sequence(F.lit(0), F.size(m)),
+            F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at")),
+            lambda acc, i: F.struct((acc["n"] + F.coalesce(F.length(F.get(p, i)), F.lit(0)) + F.coalesce(F.length(F.get(m, i)), F.lit(0))).alias("n"), F.array_append(acc["at"], acc["n"] + F.coalesce(F.length(F.get(p, i)), F.lit(0))).alias("at")),
+            lambda acc: acc["at"],
+        )
+        other = lambda x: ~F.contains(x, F.lit("think"))
+        before = lambda i: F.try_element_at(F.filter(F.slice(m, F.lit(1), i), other), F.lit(-1))
+        after = lambda i: F.get(F.filter(F.slice(m, i + 2, F.size(m)), other), F.lit(0))
+        inside = lambda i: F.coalesce(before(i).startswith("<seg") & after(i).startswith("</seg"), F.lit(False))
+        of = lambda tag: F.array_compact(F.transform(m, lambda x, i: F.when((x == tag) & ~inside(i), F.get(at, i))))
+        return F.struct(of("<think>").alias("open"), of("</think>").alias("close"))
+
+    return F.transform(F.array(F.struct(pieces.alias("p"), marks.alias("m"))), placed)[0]
+
+
+def new_terms(text: Column, source: Column | None = None) -> Column:
+    """Array of (term, translation, kind) lines of a reply's block of new terms, at most 20; with ``source`` only terms that it mentions."""
+    from quirespark.operators.glossary import mentions
+
+    block = F.regexp_extract(without_reasoning(text), r"(?s)<new_terms>(.*?)</new_terms>", 1)
     line = r"^\s*[-*]?\s*(.+?)\s*=>\s*([^|]+?)\s*(?:\|\s*([A-Za-z]+))?\s*$"
     kind = lambda s: F.lower(F.regexp_extract(s, line, 3))
     parsed = F.transform(
@@ -338,7 +367,10 @@ def new_terms(text: Column) -> Column:
             F.when(kind(s).isin("character", "place", "organization", "term"), kind(s)).otherwise("other").alias("kind"),
         ),
     )
-    return F.slice(F.filter(parsed, lambda t: (F.length(t["term"]) <= 80) & (F.length(t["translation"]) <= 120)), 1, 20)
+    fits = F.filter(parsed, lambda t: (F.length(t["term"]) <= 80) & (F.length(t["translation"]) <= 120))
+    if source is not None:
+        fits = F.filter(fits, lambda t: mentions(source, t["term"]))
+    return F.slice(fits, 1, 20)
 
 
 def limit_daily(message: Column) -> Column:

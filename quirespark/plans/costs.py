@@ -133,8 +133,9 @@ def rollup_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def margin_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and qualities whose worst margin falls below half; must stay few and known."""
-    sizes = spark.createDataFrame([(n,) for n in (300, 2_000, 10_000, 44_152, 80_000, 100_000, 150_000, 210_000, 300_000, 1_000_000)], "words long")
+    """The worst margin that each quality leaves on the documents' sizes, as single books and as a source's collection."""
+    docs = table(spark, sf_dir, "documents").select("source", tx.word_count(F.col("text")).alias("words"))
+    sizes = docs.select("words").unionAll(docs.groupBy("source").agg(F.sum("words").alias("words")).select("words")).where("words > 0").distinct()
     models = spark.createDataFrame([("gemini", "gemini-3.5-flash-lite"), ("gemini", "gemini-3.8-flash"), ("anthropic", "claude-haiku-5-5"), ("anthropic", "claude-opus-5-5")], "profile string, model string")
     grid = sizes.crossJoin(F.broadcast(models)).withColumn("net", pr.price_for(F.col("words"), F.lit(False)) * pr.double(pr.NET))
     cost = None
@@ -212,6 +213,7 @@ _R = f"""(SELECT l_orderkey, l_linenumber, model, CAST(l_quantity AS BIGINT) AS
   (CAST(l_quantity * 40 AS BIGINT)::DOUBLE * p_in + CAST(l_quantity * 20 AS BIGINT)::DOUBLE * p_out) / 1e6::DOUBLE AS cost
   FROM lineitem LEFT JOIN (VALUES {', '.join(f"('{k}', '{m}', {pr.MODEL_PRICES[m][0]}::DOUBLE, {pr.MODEL_PRICES[m][1]}::DOUBLE)" for k, m in MODELS.items() if k != 'NO')}) AS p(k, model, p_in, p_out) ON k = l_returnflag || l_linestatus)"""
 _OC = "orders JOIN customer ON o_custkey = c_custkey"
+_WORDS = f"(SELECT source, {sql_words('text')} AS w FROM documents)"
 ORACLES = {
     "price_book": f"SELECT doc_id, words, {_PRICE.format(free=chr(39).join(['lang = ', 'es', '']))} AS price, CAST(ceil(words * 2 / 1000.0) AS BIGINT) AS credits FROM {_W}",
     "price_breakdown": f"""
@@ -243,7 +245,7 @@ SELECT c_mktsegment, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus =
 SELECT n_regionkey, n_name, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, CAST(grouping_id(n_regionkey, n_name) AS BIGINT) AS level
 FROM {_OC} JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)""",
     "margin_guard": "\nUNION ALL\n".join(
-        f"SELECT CAST(words AS BIGINT) AS words, '{m}' AS model, round((net - {_cost(p, m)}) / net, 4) AS margin FROM (SELECT words, {_PRICE.format(free='FALSE')} * ({pr.NET!r})::DOUBLE AS net FROM (VALUES (300), (2000), (10000), (44152), (80000), (100000), (150000), (210000), (300000), (1000000)) AS s(words))"
+        f"SELECT CAST(words AS BIGINT) AS words, '{m}' AS model, round((net - {_cost(p, m)}) / net, 4) AS margin FROM (SELECT words, {_PRICE.format(free='FALSE')} * ({pr.NET!r})::DOUBLE AS net FROM (SELECT CAST(sum(w) AS BIGINT) AS words FROM {_WORDS} GROUP BY source UNION SELECT w FROM {_WORDS} WHERE w > 0))"
         for p, m in (("gemini", "gemini-3.5-flash-lite"), ("gemini", "gemini-3.8-flash"), ("anthropic", "claude-haiku-5-5"), ("anthropic", "claude-opus-5-5"))
     ),
     "fifo_consume": """

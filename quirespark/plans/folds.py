@@ -173,7 +173,7 @@ ORACLES = {
     "merged_paragraphs": r"""
 WITH l AS (SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
 b AS (SELECT *, lag(line) OVER w AS prev FROM l WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-p AS (SELECT *, sum(CAST(coalesce(regexp_matches(prev, '[.!?]$') AND regexp_matches(line, '^\p{Lu}'), true) AS INT)) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS para FROM b),
+p AS (SELECT *, sum(CASE WHEN prev IS NOT NULL AND regexp_matches(prev, '[.!?]$') AND regexp_matches(line, '^\p{Lu}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS para FROM b),
 n AS (SELECT *, lead(line) OVER w AS next, coalesce(contains(line, '"') <> lag(contains(line, '"')) OVER w, true) AS turns FROM p WINDOW w AS (PARTITION BY doc_id, para ORDER BY i))
 SELECT doc_id, CAST(para AS BIGINT) AS para, CAST(count(*) FILTER (WHERE turns) AS BIGINT) AS runs,
        md5(string_agg(CASE WHEN next IS NULL THEN line WHEN regexp_matches(line, '\p{L}-$') AND regexp_matches(next, '^\p{Ll}') THEN left(line, -1) ELSE line || ' ' END, '' ORDER BY i)) AS text_md5 FROM n GROUP BY doc_id, para""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quirespark.functions import markup as mk
 from quirespark.functions import text as tx
@@ -26,9 +27,10 @@ def book_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows an owner sees; an administrator sees all, nobody sees none."""
     readers = spark.createDataFrame([("owner", 7, False), ("admin", None, True), ("nobody", None, False)], "reader string, owner long, admin boolean")
-    o = table(spark, sf_dir, "orders")
-    seen = o.join(F.broadcast(readers), F.col("admin") | (F.col("o_custkey") == F.col("owner")))  # three rows
-    return readers.join(seen.groupBy("reader").agg(F.count(F.lit(1)).alias("n")), "reader", "left").select("reader", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    # owners first, so that the administrator's rows are added up and not multiplied
+    owners = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rows"))
+    seen = owners.join(F.broadcast(readers), F.col("admin") | (F.col("o_custkey") == F.col("owner")))  # three rows
+    return readers.join(seen.groupBy("reader").agg(F.sum("rows").alias("n")), "reader", "left").select("reader", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def deep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,10 +70,14 @@ def reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q22: terms that replies propose."""
-    line = F.concat(F.lit("- "), F.col("n_name"), F.lit(" => "), F.lower("n_name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(" | place")).otherwise(F.lit("")))
-    n = table(spark, sf_dir, "nation").withColumn("reply", F.concat(F.lit("<new_terms>\n"), line, F.lit("\nnoise\n</new_terms>")))
-    return n.select("n_nationkey", F.explode(mk.new_terms(F.col("reply"))).alias("t")).select("n_nationkey", "t.term", "t.translation", "t.kind")
+    """Q22: the capitalised words of each turn as the terms of its reply; those count that the turn before mentions."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").withColumn("source", F.lag("text").over(w))
+    names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1))), 1, 30)
+    lines = F.transform(names, lambda n: F.concat(F.lit("- "), n, F.lit(" => "), F.lower(n), F.when(F.length(n) > 5, F.lit(" | place")).otherwise(F.lit(" | thing"))))
+    reply = F.concat(F.lit("<new_terms>\n"), F.array_join(lines, "\n"), F.lit("\nnoise\n</new_terms>"))
+    found = c.where("source is not null").select("conv_id", "turn", F.posexplode(mk.new_terms(reply, F.col("source"))).alias("place", "t"))
+    return found.select("conv_id", "turn", F.col("place").cast("long").alias("place"), "t.term", "t.translation", "t.kind")
 
 
 def limit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +129,13 @@ LEFT JOIN (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 90)
     "restart_order": "SELECT o_orderpriority, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS next_order, count(*) AS active FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1",
     "reply_parse": r"""
 SELECT conv_id, turn AS id, md5(regexp_replace('» ' || text, '\s+$', '')) AS body_md5, 2::BIGINT AS copies FROM conversations""",
-    "new_terms": "SELECT n_nationkey, n_name AS term, lower(n_name) AS translation, CASE WHEN n_nationkey % 2 = 0 THEN 'place' ELSE 'other' END AS kind FROM nation",
+    "new_terms": r"""
+WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
+n AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(source), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS s, list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]{2,})\b', 1)) AS d, regexp_extract_all(text, '\b([A-Z][a-z]{2,})\b', 1) AS w FROM c WHERE source IS NOT NULL),
+t AS (SELECT conv_id, turn, s, x AS term, min(k) AS k FROM (SELECT conv_id, turn, s, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM n) GROUP BY conv_id, turn, s, x QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(k)) <= 30),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS place FROM t
+      WHERE contains(s, ' ' || lower(term) || ' ') OR contains(s, ' ' || lower(term) || 's ') OR contains(s, ' ' || lower(term) || 'es '))
+SELECT conv_id, turn, place, term, lower(term) AS translation, CASE WHEN length(term) > 5 THEN 'place' ELSE 'other' END AS kind FROM m WHERE place < 20""",
     "limit_messages": """
 SELECT event_id, CAST(event_id % 3 = 0 AS INT) AS daily, CASE WHEN event_id % 3 = 0 THEN CAST(ceil(((event_id % 24) * 3600 + (event_id % 60) * 60 + 7.5) * 1000) AS BIGINT)
        WHEN event_id % 3 = 1 THEN nullif((event_id % 60) * 1000, 0) END AS wait_ms FROM events""",
