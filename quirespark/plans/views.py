@@ -73,7 +73,7 @@ def new_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q22: the capitalised words of each turn as the terms of its reply; those count that the turn before mentions."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = table(spark, sf_dir, "conversations").withColumn("source", F.lag("text").over(w))
-    names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{2,})\b"), F.lit(1))), 1, 30)
+    names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?:^|[ \n])([A-Z][a-z]{2,})[,.]?(?:[ \n]|$)"), F.lit(1))), 1, 30)
     lines = F.transform(names, lambda n: F.concat(F.lit("- "), n, F.lit(" => "), F.lower(n), F.when(F.length(n) > 5, F.lit(" | place")).otherwise(F.lit(" | thing"))))
     reply = F.concat(F.lit("<new_terms>\n"), F.array_join(lines, "\n"), F.lit("\nnoise\n</new_terms>"))
     found = c.where("source is not null").select("conv_id", "turn", F.posexplode(mk.new_terms(reply, F.col("source"))).alias("place", "t"))
@@ -131,7 +131,7 @@ LEFT JOIN (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE value > 90)
 SELECT conv_id, turn AS id, md5(regexp_replace('» ' || text, '\s+$', '')) AS body_md5, 2::BIGINT AS copies FROM conversations""",
     "new_terms": r"""
 WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
-n AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(source), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS s, list_distinct(regexp_extract_all(text, '\b([A-Z][a-z]{2,})\b', 1)) AS d, regexp_extract_all(text, '\b([A-Z][a-z]{2,})\b', 1) AS w FROM c WHERE source IS NOT NULL),
+n AS (SELECT conv_id, turn, ' ' || regexp_replace(lower(source), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS s, list_distinct(regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]{2,})[,.]?(?:[ \n]|$)', 1)) AS d, regexp_extract_all(text, '(?:^|[ \n])([A-Z][a-z]{2,})[,.]?(?:[ \n]|$)', 1) AS w FROM c WHERE source IS NOT NULL),
 t AS (SELECT conv_id, turn, s, x AS term, min(k) AS k FROM (SELECT conv_id, turn, s, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM n) GROUP BY conv_id, turn, s, x QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(k)) <= 30),
 m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS place FROM t
       WHERE contains(s, ' ' || lower(term) || ' ') OR contains(s, ' ' || lower(term) || 's ') OR contains(s, ' ' || lower(term) || 'es '))
