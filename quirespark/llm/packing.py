@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import small_batches
 
 _CACHES: dict = {}
+#: Characters from which a part is encoded anew each time, so that a cache's entries bound its bytes.
+LONG = 64
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class _Known(dict):
-    """Parts and their ids; what was used lately survives when ``most`` are held."""
+    """Parts and their ids; what was used lately survives when ``most`` are held, and long parts are not held."""
 
     def __init__(self, find, most: int):
         super().__init__()
@@ -32,6 +34,8 @@ class _Known(dict):
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
+        if len(part) > LONG:
+            return self.find(part)
         ids = self.old.get(part)
         self[part] = ids = self.find(part) if ids is None else ids
         return ids

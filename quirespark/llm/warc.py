@@ -146,6 +146,8 @@ def write_archives(records: DataFrame, chunks: DataFrame, folder: str) -> DataFr
         if out is not None:
             size += out.write(gz.compress(b"\r\n\r\n") + gz.flush())
             out.close()
+            if system.get_file_info(final).type != fs.FileType.NotFound:  # of an attempt that had ended
+                system.delete_file(final)
             system.move(temp, final)
             yield pa.RecordBatch.from_pylist(
                 [{"file": name, "n_records": n, "archive_bytes": size}],
