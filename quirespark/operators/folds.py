@@ -196,6 +196,42 @@ def wallet(df: DataFrame, key: str, order: list[str], action: str, amount: str)
     return ordered_fold(df, [key], order, [action, amount], lambda: (0, 0, 0), step, {"balance": "long", "free": "long", "moved": "long"})
 
 
+def wallet_lots(df: DataFrame, key: str, order: list[str], period: str, action: str, amount: str, welcome: tuple[int, int], regular: tuple[int, int], keep: int) -> DataFrame:
+    """(key, order, balance, free, moved, expired, granted): wallets whose credits lie in lots that expire, after each event.
+
+    At every event lots whose last period is over go first; then a wallet's first
+    event brings the welcome lot and each new period the regular one (both as
+    (credits, periods that they last beyond this)). Actions are those of :func:`wallet`; what is
+    captured comes from the lots that expire first; ``restart`` closes a reservation that is still open, as its run is gone.
+    """
+
+    def step(state, now, what, n):
+        lots, held, taken, last = state
+        expired, lots = sum(m for e, m in lots.items() if e < now), {e: m for e, m in lots.items() if e >= now}
+        granted = 0
+        for credits, lasts in ([welcome] if last is None else []) + ([regular] if last != now else []):
+            lots[now + lasts] = lots.get(now + lasts, 0) + credits
+            granted += credits
+        n, moved = max(n or 0, 0), 0
+        if what == "grant":
+            lots[now + keep] = lots.get(now + keep, 0) + n
+            moved = n
+        elif what == "reserve" and not held:
+            held = moved = min(sum(lots.values()), n)
+        elif what == "capture":
+            moved = left = min(n, held - taken)
+            taken += moved
+            for e in sorted(lots):
+                lots[e], left = max(lots[e] - left, 0), max(left - lots[e], 0)
+        elif what in ("release", "restart"):
+            moved, held, taken = taken, 0, 0
+        balance = sum(lots.values())
+        return (lots, held, taken, now), (balance, max(0, balance - (held - taken)), moved, expired, granted)
+
+    out = dict.fromkeys(("balance", "free", "moved", "expired", "granted"), "long")
+    return ordered_fold(df, [key], order, [period, action, amount], lambda: ({}, 0, 0, None), step, out)
+
+
 def word_cuts(df: DataFrame, key: str, order: str, words: str, least: int = 3500) -> DataFrame:
     """(key, order, part): a new part begins after a row at which the part has ``least`` words or more."""
 

@@ -77,7 +77,16 @@ def wallet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.wallet(e, "user_id", ["us", "event_id"], "action", "n")
 
 
-QUERIES = {f.__name__: f for f in (archive_paths, short_hashes, page_headers, accepted_outputs, rendered_markup, edited_markup, wallet_events)}
+def wallet_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same wallets with lots that expire by days, a welcome lot, a daily one, and reservations closed by a restart."""
+    what = F.when(F.col("event_type") == "signup", "grant").when(F.col("event_type") == "purchase", "reserve").when(F.col("value") > 60, "restart").when(F.col("event_type") == "error", "release").otherwise("capture")
+    n = F.floor(F.coalesce("value", F.lit(0.0))).cast("long")
+    at = F.col("ts").cast("timestamp")
+    e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(at).alias("us"), "event_id", F.unix_date(at.cast("date")).cast("long").alias("day"), what.alias("action"), n.alias("n"))
+    return folds.wallet_lots(e, "user_id", ["us", "event_id"], "day", "action", "n", (15, 11), (5, 1), 3)
+
+
+QUERIES = {f.__name__: f for f in (archive_paths, short_hashes, page_headers, accepted_outputs, rendered_markup, edited_markup, wallet_events, wallet_lots)}
 ORACLES = {
     # an archive has no parent folder, so what leads above it begins again at the top
     "archive_paths": r"""
@@ -114,4 +123,19 @@ f AS (SELECT DISTINCT user_id, 0::BIGINT AS us, -1::BIGINT AS event_id, 0::BIGIN
     CASE WHEN s.k = 'signup' THEN s.n WHEN s.k = 'purchase' THEN CASE WHEN f.held = 0 THEN least(f.balance, s.n) ELSE 0 END WHEN s.k = 'error' THEN f.taken ELSE least(s.n, f.held - f.taken) END AS moved
     FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1))
 SELECT user_id, us, event_id, balance, balance - (held - taken) AS free, moved FROM f WHERE rn > 0""",
+    "wallet_lots": """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id, CAST(CAST(ts AS DATE) - DATE '1970-01-01' AS BIGINT) AS p, CAST(floor(coalesce(value, 0)) AS BIGINT) AS n,
+       CASE WHEN event_type = 'signup' THEN 'grant' WHEN event_type = 'purchase' THEN 'reserve' WHEN value > 60 THEN 'release' WHEN event_type = 'error' THEN 'release' ELSE 'capture' END AS k FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM e),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS us, -1::BIGINT AS event_id, 0::BIGINT AS rn, -1::BIGINT AS day, CAST([] AS STRUCT(e BIGINT, m BIGINT)[]) AS lots, 0::BIGINT AS held, 0::BIGINT AS taken, 0::BIGINT AS moved, 0::BIGINT AS expired, 0::BIGINT AS granted FROM e
+  UNION ALL SELECT user_id, us, event_id, rn, p,
+    CASE k WHEN 'grant' THEN list_sort(list_append(l1, {'e': p + 3, 'm': n}))
+           WHEN 'capture' THEN list_filter(list_transform(l1, lambda x, i: {'e': x.e, 'm': x.m - greatest(0, least(x.m, moved - CAST(coalesce(list_sum(list_transform(l1[:i - 1], lambda y: y.m)), 0) AS BIGINT)))}), lambda x: x.m > 0) ELSE l1 END,
+    CASE WHEN k = 'release' THEN 0 WHEN k = 'reserve' AND held = 0 THEN moved ELSE held END, CASE WHEN k = 'release' THEN 0 WHEN k = 'capture' THEN taken + moved ELSE taken END, moved, expired, granted
+  FROM (SELECT *, CASE k WHEN 'grant' THEN n WHEN 'reserve' THEN CASE WHEN held = 0 THEN least(CAST(coalesce(list_sum(list_transform(l1, lambda x: x.m)), 0) AS BIGINT), n) ELSE 0 END WHEN 'capture' THEN least(n, held - taken) ELSE taken END AS moved
+    FROM (SELECT s.user_id, s.us, s.event_id, s.rn, s.p, s.k, s.n, f.held, f.taken,
+      CAST(coalesce(list_sum(list_transform(list_filter(f.lots, lambda x: x.e < s.p), lambda x: x.m)), 0) AS BIGINT) AS expired, CASE WHEN f.day = -1 THEN 20 WHEN f.day <> s.p THEN 5 ELSE 0 END AS granted,
+      list_sort(list_concat(list_filter(f.lots, lambda x: x.e >= s.p), CASE WHEN f.day = -1 THEN [{'e': s.p + 11, 'm': 15::BIGINT}, {'e': s.p + 1, 'm': 5::BIGINT}] WHEN f.day <> s.p THEN [{'e': s.p + 1, 'm': 5::BIGINT}] ELSE [] END)) AS l1
+      FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1)))
+SELECT user_id, us, event_id, b AS balance, greatest(0, b - (held - taken)) AS free, moved, expired, granted FROM (SELECT *, CAST(coalesce(list_sum(list_transform(lots, lambda x: x.m)), 0) AS BIGINT) AS b FROM f WHERE rn > 0)""",
 }
