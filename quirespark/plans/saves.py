@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.functions import package as pk
+from quirespark.operators import job
 from quirespark.session import table
 from quirespark.sources import chapters
 
@@ -40,7 +41,25 @@ def translated_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.md5(pk.relabelled(F.col("html"), labels, ["a"])).alias("html_md5"))
 
 
-QUERIES = {f.__name__: f for f in (save_deltas, settled_books, translated_nav)}
+def translation_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of conversations in requests of 600 characters; a service that speaks 400 characters of each leaves lines to go out again."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    lines = turns.select(F.col("conv_id").alias("book"), F.col("turn").alias("chapter"), F.posexplode(F.split("text", "\n", -1)).alias("i", "src"))
+    lines = lines.select("book", "chapter", F.col("i").cast("long").alias("i"), "src", F.lit(None).cast("string").alias("out"), F.lit(False).alias("failed")).where("src <> ''")
+
+    def service(requests: DataFrame) -> DataFrame:
+        said = F.regexp_extract_all("prompt", F.lit(r"(?s)<seg id=\"\d+\">.*?</seg>"), F.lit(0))
+        # as many segments as have begun within 400 characters of text
+        begin = F.aggregate(said, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")), lambda acc, x: F.struct(
+            (acc["n"] + F.length(F.regexp_replace(x, r"(?s)^<seg[^>]*>|</seg>$", ""))).alias("n"), F.when(acc["n"] < 400, F.array_append(acc["kept"], x)).otherwise(acc["kept"]).alias("kept")), lambda acc: acc["kept"])
+        return requests.select("request", F.array_join(begin, "\n").alias("reply"), F.when(F.size(begin) < F.size(said), "max_tokens").otherwise("end").alias("stop_reason"))
+
+    rows = job.requests_of(job.pending(lines), chars=600)
+    made = job.one_round(job.begun(rows), service)
+    return made.select("book", "chapter", "i", "origin", "id", "state", "again", F.md5("out").alias("out_md5"))
+
+
+QUERIES = {f.__name__: f for f in (save_deltas, settled_books, translated_nav, translation_round)}
 ORACLES = {
     "save_deltas": """
 WITH s AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, arg_max(coalesce(value, 0), (ts, event_id)) AS v FROM events GROUP BY ALL),
