@@ -11,6 +11,7 @@ from quirespark.functions import markup as mk
 from quirespark.functions import quality as qa
 from quirespark.functions.package import declared_utf8, in_language, resolved_path, short_hash
 from quirespark.operators import folds
+from quirespark.plans.quality import dealt
 from quirespark.session import table
 
 
@@ -39,13 +40,13 @@ def page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn's next one as its output: repaired, breaks put back, stray marks taken out, then judged."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("next")).where("next is not null")
+    c = dealt(spark, sf_dir).select("conv_id", "turn", "text", F.lead("text").over(w).alias("next")).where("next is not null")
     marked = lambda t: F.concat(F.lit("<em_1>"), t, F.lit("</em_1><br_2/>end"))
     answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<em_1>"), "next", F.lit("</em_1>\nend"))).otherwise(F.concat(F.lit("**"), "next", F.lit("** end")))
     fixed = c.select("conv_id", "turn", marked(F.col("text")).alias("src"), answer.alias("out")).withColumn("f", mk.repair("out", "src"))
     strict = lb.without_stray_markup(F.col("f.markup"))
     broken = lambda t: qa.verdict(F.col("src"), t, F.lit("pt-BR"))
-    judged = fixed.select("conv_id", "turn", "src", "f", broken(F.col("f.markup")).alias("hard"), strict.alias("strict")).withColumn("again", broken(F.col("strict")))
+    judged = fixed.select("conv_id", "turn", "src", "f", broken(F.col("f.markup")).alias("hard"), strict.alias("strict")).withColumn("again", F.when(F.col("hard") == "stray-tag", broken(F.col("strict"))))
     reason = F.when(F.size("f.missing") > 0, "tags").when(F.col("hard") == "stray-tag", F.coalesce("again", F.lit("ok"))).otherwise(F.coalesce("hard", F.lit("ok")))
     return judged.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("outputs"))
 

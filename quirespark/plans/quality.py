@@ -12,9 +12,14 @@ from quirespark.session import table
 from quirespark.sources import html
 
 
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations by id in the session's number of shuffle partitions, stated so that it isn't lowered for their few bytes: judging a turn is work of milliseconds."""
+    return table(spark, sf_dir, "conversations").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("src"), F.lead("text").over(w).alias("out")).where("out is not null")
+    return dealt(spark, sf_dir).select("conv_id", "turn", F.col("text").alias("src"), F.lead("text").over(w).alias("out")).where("out is not null")
 
 
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
