@@ -180,10 +180,10 @@ def language_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 200 characters or more by their trigrams, others by what they declare, where that differs from what they declare."""
+    """Documents of 200 characters or more by their trigrams, others by what they declare."""
     docs = table(spark, sf_dir, "documents")
     found = lg.detected(docs, lg.profiles(docs), F.col("lang")).withColumnRenamed("doc_id", "id")
-    return docs.join(found, F.col("doc_id") == F.col("id")).where("not (lang <=> language)").select("doc_id", "lang", "language")
+    return docs.join(found, F.col("doc_id") == F.col("id")).select("doc_id", "lang", "language")
 
 
 def offer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +240,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang)
 ORACLES = {
     "language_ranking": f"""WITH {_GRAMS} SELECT doc_id, lang, rank, distance, CASE WHEN n * 300 = least THEN 1 ELSE round(1 - (distance - least)::DOUBLE / (n * 300 - least), 9) END AS score FROM r""",
     "language_detected": f"""WITH {_GRAMS} SELECT t.doc_id, t.lang, CASE WHEN chars >= 200 THEN coalesce(r.lang, t.lang) ELSE t.lang END AS language
-FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND rank = 1 WHERE t.lang IS DISTINCT FROM CASE WHEN chars >= 200 THEN coalesce(r.lang, t.lang) ELSE t.lang END""",
+FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND rank = 1""",
     "chapter_intervals": f'WITH {_CH} SELECT doc_id, start, "end", title, depth FROM ch',
     "interval_join": f"""WITH {_CH} SELECT ch.doc_id, start, CAST(sum({sql_words('src')}) AS BIGINT) AS words, count(*) AS segments
 FROM lines JOIN ch ON lines.doc_id = ch.doc_id AND i >= start AND i < "end" GROUP BY ALL""",
