@@ -19,7 +19,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", (tx.word_count(F.col("text")) * 37).alias("words"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = spark.createDataFrame([(k, m, *pr.MODEL_PRICES[m]) for k, m in MODELS.items() if k != "NO"], "k string, model string, p_in double, p_out double")
     l = table(spark, sf_dir, "lineitem").select(  # noqa: E741
         "l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("k"), F.col("l_quantity").cast("long").alias("words"),
@@ -65,7 +65,7 @@ def book_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of each order's runs; an unpriced run has no cost and spoils ``all_priced``."""
-    return _runs(spark, sf_dir).groupBy("l_orderkey").agg(
+    return runs(spark, sf_dir).groupBy("l_orderkey").agg(
         F.sum("t_in").alias("tokens_in"), F.sum("t_out").alias("tokens_out"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 9).alias("cost"),
         F.bool_and(F.col("cost").isNotNull()).cast("int").alias("all_priced"), F.round(F.try_divide(F.sum("cost") * 1000, F.sum("words")), 9).alias("per_1k"),
     )
@@ -78,7 +78,7 @@ def cost_p90_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     model's runs are gathered in one array.
     """
     per1k = F.round(F.col("cost") / F.col("words") * 1000 + F.col("l_linenumber") / F.lit(1000), 6)
-    values = _runs(spark, sf_dir).where("cost is not null").select("model", per1k.alias("v"))
+    values = runs(spark, sf_dir).where("cost is not null").select("model", per1k.alias("v"))
     counts = values.groupBy("model", "v").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.partitionBy("model").orderBy("v"))
     total = values.groupBy("model").agg(F.count(F.lit(1)).alias("runs"))
@@ -101,7 +101,7 @@ def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def engine_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each engine and rounded percent of all."""
-    by = _runs(spark, sf_dir).groupBy(F.coalesce("model", F.lit("(sem registro)")).alias("engine")).agg(F.sum("words").alias("words"))
+    by = runs(spark, sf_dir).groupBy(F.coalesce("model", F.lit("(sem registro)")).alias("engine")).agg(F.sum("words").alias("words"))
     total = by.agg(F.sum("words").alias("t"))
     share = F.col("words") * F.lit(100).cast("double") / F.col("t")
     return by.crossJoin(F.broadcast(total)).select("engine", "words", pr.half_up(share).alias("percent"))  # one row
@@ -175,9 +175,9 @@ def idempotent_grant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first run at which an order's cost passes its ceiling (0.002 here)."""
-    runs = _runs(spark, sf_dir).withColumn("c", F.coalesce(F.col("cost"), F.lit(0.0)).cast("decimal(18,8)"))
+    priced = runs(spark, sf_dir).withColumn("c", F.coalesce(F.col("cost"), F.lit(0.0)).cast("decimal(18,8)"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, 0)
-    spent = runs.withColumn("spent", F.sum("c").over(w))
+    spent = priced.withColumn("spent", F.sum("c").over(w))
     return spent.groupBy("l_orderkey").agg(F.min(F.when(F.col("spent") > F.lit("0.002").cast("decimal(18,8)"), F.col("l_linenumber"))).cast("long").alias("stopped_at"))
 
 
@@ -209,7 +209,7 @@ def _cost(profile: str, model: str) -> str:
     return f"(({i})::DOUBLE * {p_in}::DOUBLE + ({o})::DOUBLE * {p_out}::DOUBLE) / 1000000::DOUBLE * ({pr.BRL_PER_USD!r})::DOUBLE"
 
 
-_R = f"""(SELECT l_orderkey, l_linenumber, model, CAST(l_quantity AS BIGINT) AS words, CAST(l_quantity * 40 AS BIGINT) AS t_in, CAST(l_quantity * 20 AS BIGINT) AS t_out,
+RUN_SQL = f"""(SELECT l_orderkey, l_linenumber, model, CAST(l_quantity AS BIGINT) AS words, CAST(l_quantity * 40 AS BIGINT) AS t_in, CAST(l_quantity * 20 AS BIGINT) AS t_out,
   (CAST(l_quantity * 40 AS BIGINT)::DOUBLE * p_in + CAST(l_quantity * 20 AS BIGINT)::DOUBLE * p_out) / 1e6::DOUBLE AS cost
   FROM lineitem LEFT JOIN (VALUES {', '.join(f"('{k}', '{m}', {pr.MODEL_PRICES[m][0]}::DOUBLE, {pr.MODEL_PRICES[m][1]}::DOUBLE)" for k, m in MODELS.items() if k != 'NO')}) AS p(k, model, p_in, p_out) ON k = l_returnflag || l_linestatus)"""
 _OC = "orders JOIN customer ON o_custkey = c_custkey"
@@ -226,17 +226,17 @@ SELECT doc_id, round(round((0.09::DOUBLE + 0.17::DOUBLE * least(1::DOUBLE, great
        CASE WHEN words <= 10000 THEN 'conto' WHEN words <= 40000 THEN 'novela' WHEN words <= 100000 THEN 'romance' ELSE 'saga' END AS kind FROM {_W}""",
     "run_costs": f"""
 SELECT l_orderkey, CAST(sum(t_in) AS BIGINT) AS tokens_in, CAST(sum(t_out) AS BIGINT) AS tokens_out, round(coalesce(sum(cost), 0.0::DOUBLE), 9) AS cost,
-       CAST(bool_and(cost IS NOT NULL) AS INT) AS all_priced, round(sum(cost) * 1000 / sum(words), 9) AS per_1k FROM {_R} GROUP BY l_orderkey""",
+       CAST(bool_and(cost IS NOT NULL) AS INT) AS all_priced, round(sum(cost) * 1000 / sum(words), 9) AS per_1k FROM {RUN_SQL} GROUP BY l_orderkey""",
     "cost_p90_by_model": f"""
 SELECT model, count(*) AS runs, list_sort(list(v))[CAST(least(count(*) - 1, floor(count(*) * 0.9::DOUBLE)) AS BIGINT) + 1] AS p90
-FROM (SELECT model, round(cost / words * 1000 + l_linenumber / 1000::DOUBLE, 6) AS v FROM {_R} WHERE cost IS NOT NULL) GROUP BY model""",
+FROM (SELECT model, round(cost / words * 1000 + l_linenumber / 1000::DOUBLE, 6) AS v FROM {RUN_SQL} WHERE cost IS NOT NULL) GROUP BY model""",
     "upper_median": "SELECT l_orderkey, list_sort(list(l_quantity))[count(*) // 2 + 1] AS median FROM lineitem GROUP BY l_orderkey",
     "weighted_mode": """
 SELECT l_suppkey, CAST(l_linenumber AS BIGINT) AS mode FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY w DESC, first, l_linenumber) AS r
 FROM (SELECT l_suppkey, l_linenumber, sum(l_quantity) AS w, min(l_orderkey) AS first FROM lineitem GROUP BY ALL)) WHERE r = 1""",
     "engine_share": f"""
 SELECT engine, words, CAST(floor(words * 100::DOUBLE / sum(words) OVER () + 0.5) AS BIGINT) AS percent
-FROM (SELECT coalesce(model, '(sem registro)') AS engine, CAST(sum(words) AS BIGINT) AS words FROM {_R} GROUP BY 1)""",
+FROM (SELECT coalesce(model, '(sem registro)') AS engine, CAST(sum(words) AS BIGINT) AS words FROM {RUN_SQL} GROUP BY 1)""",
     "admin_totals": f"""
 SELECT c_mktsegment, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice::DECIMAL(18,2) END) AS DOUBLE) AS income,
        CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice::DECIMAL(18,2) END) AS DOUBLE) AS open_income, count(DISTINCT o_custkey) AS customers FROM {_OC} GROUP BY c_mktsegment""",
@@ -258,5 +258,5 @@ SELECT user_id, count(*) AS grants, round(CAST(sum(CAST(value AS DECIMAL(18,6)))
 FROM (SELECT user_id, event_id % 997 AS x, arg_min(value, event_id) AS value, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) GROUP BY user_id""",
     "run_ceiling": f"""
 SELECT l_orderkey, CAST(min(CASE WHEN spent > 0.002 THEN l_linenumber END) AS BIGINT) AS stopped_at
-FROM (SELECT *, sum(CAST(coalesce(cost, 0) AS DECIMAL(18,8))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS spent FROM {_R}) GROUP BY l_orderkey""",
+FROM (SELECT *, sum(CAST(coalesce(cost, 0) AS DECIMAL(18,8))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS spent FROM {RUN_SQL}) GROUP BY l_orderkey""",
 }
