@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Application folders made by this process.
 _OURS: set[str] = set()
+#: Tables made within the innermost :func:`scratch`.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -36,7 +41,26 @@ def new_folder(spark: SparkSession, tag: str) -> str:
         system.mkdirs(path)
         system.deleteOnExit(path)
         _OURS.add(ours)
-    return f"{ours}/{tag}-{uuid.uuid4().hex}"
+    made = f"{ours}/{tag}-{uuid.uuid4().hex}"
+    if (tables := _MADE.get()) is not None:
+        tables.append(made)
+    return made
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables made within, but for the last one: for work whose result is that table and needs the others no more."""
+    token = _MADE.set([])
+    try:
+        yield
+        for path in (_MADE.get() or [])[:-1]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    finally:
+        last = (_MADE.get() or [])[-1:]
+        _MADE.reset(token)
+        if (outer := _MADE.get()) is not None:
+            outer.extend(last)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

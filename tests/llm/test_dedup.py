@@ -297,3 +297,21 @@ def test_line_dedup_keeps_columns_named_like_its_helpers(spark):
     found = line_dedup.dedup_lines(df).collect()
     assert {r.doc_id: r.text for r in found} == {1: rows[0][1], 2: "y", None: rows[2][1]}
     assert all((r._gone, r._doc, r._hash, r.gone, r.doc, r.text_hash) == tuple("abcdef") for r in found)
+
+
+def test_work_tables_go_but_for_the_last(spark):
+    from quirespark.llm import common
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    outside = common.written(spark.range(3), "t")
+    with common.scratch(spark):
+        a = common.written(spark.range(3), "t")
+        with common.scratch(spark):
+            b = common.written(spark.range(3), "t")
+            c = common.written(b, "t")
+        assert not there(b) and there(c) and there(a)
+        d = common.written(c.unionAll(a), "t")
+    assert there(outside) and not there(a) and not there(c) and d.count() == 6
