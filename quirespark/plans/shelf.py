@@ -94,9 +94,9 @@ def provider_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H8: every service for each user with what is left of three requests on the user's last day, and the suggested one: free, with requests left, else the first."""
     e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     users = e.groupBy("user_id").agg(F.max("day").alias("day"))
-    services = e.select("event_type").distinct()  # as many as there are services
+    services = e.agg(F.collect_set("event_type").alias("services"))  # one row, a name for each service
     used = e.groupBy("user_id", "day", "event_type").agg(F.count(F.lit(1)).alias("used"))
-    rows = users.crossJoin(F.broadcast(services.limit(100))).join(used, ["user_id", "day", "event_type"], "left")
+    rows = users.join(F.broadcast(services)).select("user_id", "day", F.explode("services").alias("event_type")).join(used, ["user_id", "day", "event_type"], "left")
     left = F.greatest(F.lit(0), 3 - F.coalesce("used", F.lit(0)))
     rows = rows.select("user_id", F.col("event_type").alias("service"), (F.col("event_type") == "purchase").alias("paid"), left.cast("long").alias("left"))
     own = Window.partitionBy("user_id")
