@@ -56,11 +56,23 @@ def translation_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = job.requests_of(job.pending(lines), chars=600)
     made = job.one_round(job.begun(rows), service)
-    return made.select("book", "chapter", "i", "origin", "id", "state", "again", F.md5("out").alias("out_md5"))
+    return made.select("book", "chapter", "i", "origin", "id", "state", F.when(F.col("state") == "again", F.col("again")).alias("again"), F.md5("out").alias("out_md5"))
 
 
 QUERIES = {f.__name__: f for f in (save_deltas, settled_books, translated_nav, translation_round)}
 ORACLES = {
+    "translation_round": r"""
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY chapter, i) AS rn FROM (SELECT conv_id AS book, turn AS chapter, unnest(x) AS src, unnest(range(len(x))) AS i FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS x FROM conversations WHERE text IS NOT NULL)) WHERE src <> ''),
+f AS (SELECT DISTINCT book, 0::BIGINT AS rn, 0 AS batch, 0::BIGINT AS held, 0 AS rows FROM l UNION ALL
+      SELECT l.book, l.rn, CASE WHEN full_ THEN batch + 1 ELSE batch END, CASE WHEN full_ THEN length(src) ELSE held + length(src) END, CASE WHEN full_ THEN 1 ELSE rows + 1 END
+      FROM (SELECT l.*, f.batch, f.held, f.rows, f.rows > 0 AND (f.held + length(l.src) > 600 OR f.rows >= 120) AS full_ FROM f JOIN l ON l.book = f.book AND l.rn = f.rn + 1) l),
+r AS (SELECT l.*, l.book || '/' || batch AS origin, row_number() OVER (PARTITION BY l.book, batch ORDER BY l.rn) AS id FROM l JOIN f ON f.book = l.book AND f.rn = l.rn),
+s AS (SELECT * FROM (SELECT *, min(id) OVER (PARTITION BY origin, src) AS first FROM r WHERE regexp_matches(src, '\p{L}')) WHERE first = id),
+b AS (SELECT *, coalesce(sum(length(src)) OVER (PARTITION BY origin ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 400 AS back FROM s),
+d AS (SELECT *, count(*) OVER (PARTITION BY origin) AS n, count(*) FILTER (WHERE NOT back) OVER (PARTITION BY origin) AS rest, count(*) FILTER (WHERE NOT back) OVER (PARTITION BY origin ORDER BY id) AS nth FROM b)
+SELECT book, chapter, i, origin, id, CASE WHEN back THEN 'done' ELSE 'again' END AS state,
+       CASE WHEN NOT back THEN origin || '.' || CASE WHEN rest < n AND rest <= ceil(n / 2) THEN 'r' WHEN nth > ceil(rest / 2) THEN 'b' ELSE 'a' END END AS again,
+       CASE WHEN back THEN md5(replace(replace(replace(regexp_replace(src, '^\s+|\s+$', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) END AS out_md5 FROM d""",
     "save_deltas": """
 WITH s AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, arg_max(coalesce(value, 0), (ts, event_id)) AS v FROM events GROUP BY ALL),
 h AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(v) AS BIGINT) END AS w, CAST(event_type = 'error' AND v > 50 AS BIGINT) AS f FROM s),
