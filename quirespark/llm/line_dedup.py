@@ -22,9 +22,10 @@ most 2k buckets, so near lines share a variant. Each line is verified against th
 earliest line under its variants; where that is too far, the lines that share a
 variant are joined on their k + 2 rarest words, of which near lines share one. No
 pair within the bound is lost, and neither a very common half nor a very common
-passage makes all pairs of its lines. Beyond 2,000 words, where the edit distance
-would be quadratic work, lines are near that lose at most 2k pairs of neighbouring
-words to one another: all within k edits, and those whose parts have moved.
+passage makes all pairs of its lines. One relation holds for lines of every length.
+Pairs of neighbouring words that lines lose to one another tell most far ones
+before, and equal places most near ones of very many words; the edit distance, whose
+work is quadratic there, decides the others.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ from quirespark.llm.common import scratch, written
 PER_EDIT, MOST, LONG, GROWTH = 20, 50, 38, 1.25
 #: Longs of marks by which candidates are told to be far.
 MARKS = 4
-#: Words beyond which lost pairs of neighbouring words are counted instead of edits, as the edit distance takes quadratic time.
-PAIRS = 2000
+#: Words from which lost pairs of neighbouring words are counted before the edits, and those from which equal places are; neither changes the result.
+PAIRS, PLACES = 500, 2000
 #: Thai and Lao, Myanmar, Khmer, kana and Han, as ranges (a test by script name takes ten times as long): no blanks between words, each letter is one.
 UNSPACED = r"[฀-໿က-႟ក-៿ぁ-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3FFFF}]"
 #: What a line that isn't words with one blank between them holds: other white space, or letters that all of these scripts and no Latin, Greek or Cyrillic pass.
@@ -271,8 +272,7 @@ def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
     """
     n = F.col("n")
     of = lines.join(keys.select("row").distinct(), "row")
-    letters, pairs = F.when(n <= PAIRS + MOST, _spelt(F.col("line"))), F.when(n > PAIRS // 4, _pairs(F.col("line")))
-    spelt = written(of.select("row", "place", "n", pairs.alias("g"), letters.alias("l")), "spelt")
+    spelt = written(of.select("row", "place", "n", F.when(n > PAIRS, _pairs(F.col("line"))).alias("g"), _spelt(F.col("line")).alias("l")), "spelt")
     keys = written(keys.join(spelt.select("row", "place"), "row"), "placed")
     least = keys.groupBy("k").agg(F.min(F.struct("place", "row")).alias("least"), F.count(F.lit(1)).alias("members"))
     keys = keys.join(least, "k")
@@ -284,7 +284,9 @@ def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
         most = _bound(F.greatest("n", "m"))
         # an edit takes away two pairs of neighbours at most
         lost = lambda x, y: F.coalesce(F.size(F.array_except(x, y)) > 2 * most, F.lit(False))
-        within = (F.greatest("n", "m") > PAIRS) | (F.call_function("levenshtein", F.col("l"), F.col("ol"), most) >= 0)
+        replaced = F.size(F.filter(F.zip_with(F.split("l", ""), F.split("ol", ""), lambda p, q: p != q), lambda other: other))
+        alike = (F.col("n") > PLACES) & (F.col("n") == F.col("m")) & (replaced <= most)  # only replaced words: within the bound for certain
+        within = alike | (F.call_function("levenshtein", F.col("l"), F.col("ol"), most) >= 0)
         near = F.when(F.abs(F.col("n") - F.col("m")) > most, False).when(lost("g", "og"), False).when(lost("og", "g"), False).otherwise(within)
         return found.select("row", "place", "other", "other_place", near.alias("near"))
 

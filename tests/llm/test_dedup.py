@@ -252,6 +252,18 @@ def test_line_dedup_very_long_lines(spark):
     assert [(r.doc, r.first_doc) for r in got] == [(2, 1)]
 
 
+def test_line_dedup_one_relation_for_all_lengths(spark):
+    """A line of more than 2,000 words a part of which has moved is as far as a shorter one."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(2400)]
+    edited = list(words)
+    for at in range(2300, 0, -100):
+        rng.choice([lambda: edited.pop(at), lambda: edited.insert(at, "new"), lambda: edited.__setitem__(at, "other")])()
+    moved = words[300:] + words[:300]
+    got = line_dedup.duplicate_lines(make(spark, [(i, " ".join(w)) for i, w in enumerate([words, moved, edited, moved[1:]])])).collect()
+    assert {(r.doc, r.first_doc) for r in got} == {(2, 0), (3, 1)}
+
+
 def test_near_duplicates(spark):
     """Groups of texts with a five-word shingle similarity of 0.8 or more, against all pairs."""
     rng = random.Random(6)
