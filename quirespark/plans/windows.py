@@ -88,14 +88,15 @@ def frequent_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last lines that repeat in enough documents of a source to be headers or footers."""
+    """First and last lines of a source's documents, in how many they stand, and whether these are enough to be headers or footers."""
     lines = F.split("text", "\n", -1)
     fold = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\d+", "#")
     d = table(spark, sf_dir, "documents")
     edges = d.select("source", F.explode(F.array_distinct(F.array(fold(F.element_at(lines, 1)), fold(F.element_at(lines, -1))))).alias("edge")).where("edge <> ''")
     counts = edges.groupBy("source", "edge").agg(F.count(F.lit(1)).alias("n"))
     pages = d.groupBy("source").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(pages, "source").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 5))).select("source", F.md5(F.col("edge")).alias("edge_md5"), "n")
+    repeated = F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 5))
+    return counts.join(pages, "source").select("source", F.md5(F.col("edge")).alias("edge_md5"), "n", "pages", repeated.alias("repeated"))
 
 
 def first_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +155,8 @@ FROM {_L} WHERE {sql_words('src')} >= 8) WHERE before < 8000 GROUP BY doc_id""",
 SELECT lang, name, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, name) AS rank FROM (
 SELECT lang, name, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(text, ' (\p{Lu}\p{Ll}{2,})', 1)) AS name FROM documents) GROUP BY ALL HAVING count(*) >= 3)) WHERE rank <= 15""",
     "repeated_edges": r"""
-SELECT source, md5(edge) AS edge_md5, n FROM (SELECT source, edge, count(*) AS n FROM (SELECT source, unnest(list_distinct([regexp_replace(lower(trim(l[1], ' ')), '\d+', '#', 'g'), regexp_replace(lower(trim(l[-1], ' ')), '\d+', '#', 'g')])) AS edge
-FROM (SELECT source, string_split(text, chr(10)) AS l FROM documents)) WHERE edge <> '' GROUP BY ALL) JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) USING (source) WHERE n >= greatest(3, floor(pages / 5.0))""",
+SELECT source, md5(edge) AS edge_md5, n, pages, n >= greatest(3, floor(pages / 5.0)) AS repeated FROM (SELECT source, edge, count(*) AS n FROM (SELECT source, unnest(list_distinct([regexp_replace(lower(trim(l[1], ' ')), '\d+', '#', 'g'), regexp_replace(lower(trim(l[-1], ' ')), '\d+', '#', 'g')])) AS edge
+FROM (SELECT source, string_split(text, chr(10)) AS l FROM documents)) WHERE edge <> '' GROUP BY ALL) JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) USING (source)""",
     "first_unfinished": """
 SELECT l_orderkey, CAST(min(CASE WHEN l_linestatus = 'O' THEN l_linenumber END) AS BIGINT) AS next_line,
        arg_min(l_suppkey, CASE WHEN l_linestatus = 'O' THEN (l_linenumber, l_partkey, l_suppkey) END) AS owner, count(*) FILTER (WHERE l_linestatus <> 'O') AS done FROM lineitem GROUP BY l_orderkey""",
