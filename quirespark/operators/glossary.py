@@ -37,19 +37,27 @@ def matches(texts: DataFrame, terms: DataFrame, text_id: str, text: str = "text"
     """(text_id, term, pos, origin, score): terms that a text mentions, 3 for the whole term, 2 for one of its names in its own case, 1 more if a user wrote it.
 
     A mentioned term begins with a whole word of the text, so the texts' distinct
-    words are joined to first words by equality. That decides a term of one word,
-    whose plural forms are keys too; only longer terms are then looked for by a
-    pattern, in the texts that have their first word. Names of a term are joined to
+    words are joined to first words by equality, and its distinct neighbours to terms
+    of two words. That decides these terms, whose plural forms are keys too; only
+    longer terms are then looked for by a pattern, in the texts that have their first word. Names of a term are joined to
     words in the same way. No text meets every term.
     """
     run = r"[\p{L}\p{N}]+"
     folded = folded_term(F.col("term"))
     first = F.regexp_extract(folded, run, 0)
     single = folded.rlike(rf"^{run}$")
-    forms = F.when(single, F.array(first, F.concat(first, F.lit("s")), F.concat(first, F.lit("es")))).otherwise(F.array(first))
-    keyed = terms.where(first != "").select("term", "pos", "origin", single.alias("single"), F.explode(forms).alias("word"))
+    plural = lambda w: F.array(w, F.concat(w, F.lit("s")), F.concat(w, F.lit("es")))
+    double, known = folded.rlike(rf"^{run} {run}$"), terms.where(first != "")
+    forms = F.when(single, plural(first)).otherwise(F.array(first))
+    keyed = known.where(~double).select("term", "pos", "origin", single.alias("single"), F.explode(forms).alias("word"))
+    doubly = known.where(double).select("term", "pos", "origin", F.lit(True).alias("single"), F.explode(plural(folded)).alias("two"))
     words = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(run), F.lit(0)))).alias("word"))
-    pairs = words.join(keyed, "word").drop("word").distinct()
+    # a run keeps its blank where the next one follows it
+    runs = texts.select(text_id, F.regexp_extract_all(folded_term(F.col(text)), F.lit(rf"{run}(?: (?=[\p{{L}}\p{{N}}]))?"), F.lit(0)).alias("_runs"))
+    # joined as strings, which are told apart by their hash
+    follows = lambda a, b: F.when(F.endswith(a, F.lit(" ")), F.concat(a, F.rtrim(b)))
+    beside = runs.select(text_id, F.explode(F.array_distinct(F.zip_with("_runs", F.slice("_runs", 2, F.size("_runs")), follows))).alias("two"))
+    pairs = words.join(keyed, "word").drop("word").unionByName(beside.join(doubly, "two").drop("two")).distinct()
     bodies = texts.select(text_id, F.col(text).alias("_text"), folded_term(F.col(text)).alias("_folded"))
     # a plain search comes first, as a pattern has to be made for each pair
     own_case = F.contains("_text", "term") & occurs(F.col("_text"), F.col("term"))

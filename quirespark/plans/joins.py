@@ -56,9 +56,20 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once.withColumn("origin", F.when(F.col("pos") % 4 == 0, "user").otherwise("auto"))
 
 
+def _all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glossary: all words of three letters or more of each benchmark item and all two such neighbours, as they stand there, by the first item that has it."""
+    runs = F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+(?: +\p{L}+)*"), F.lit(0)), lambda r: F.split(r, " +"))
+    long = lambda w: F.length(w) >= 3
+    both = lambda a, b: F.when(long(a) & long(b), F.concat(a, F.lit(" "), b))
+    two = F.flatten(F.transform(runs, lambda ws: F.zip_with(ws, F.slice(ws, 2, F.size(ws)), both)))
+    words = F.concat(F.filter(F.flatten(runs), long), F.filter(two, F.isnotnull))
+    found = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("term"), F.col("item_id").alias("pos"))
+    return found.groupBy("term").agg(F.min("pos").alias("pos")).withColumn("origin", F.when(F.col("pos") % 4 == 0, "user").otherwise("auto"))
+
+
 def glossary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J4, J5, J6."""
-    found = gl.matches(table(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id")
+    found = gl.matches(table(spark, sf_dir, "documents"), _all_terms(spark, sf_dir), "doc_id")
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.max("score").alias("score"))
 
 
@@ -217,6 +228,9 @@ _FOLD = "regexp_replace(lower(trim({0})), '\\s+', ' ', 'g')"
 _TERMS = r"""terms AS (SELECT t AS term, min(item_id) AS pos
   FROM (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN split_part(w, ' ', 1) ELSE w END AS t
         FROM (SELECT item_id, regexp_replace(regexp_extract(text, '\p{L}{3,} +\p{L}{3,}', 0), ' +', ' ') AS w FROM benchmark)) WHERE t <> '' GROUP BY 1)"""
+_ALL_TERMS = r"""runs AS (SELECT item_id, string_split_regex(run, ' +') AS w FROM (SELECT item_id, unnest(regexp_extract_all(text, '\p{L}+(?: +\p{L}+)*')) AS run FROM benchmark)),
+terms AS (SELECT t AS term, min(item_id) AS pos FROM (SELECT item_id, unnest(list_filter(w, lambda x: length(x) >= 3)) AS t FROM runs
+  UNION ALL SELECT item_id, w[i] || ' ' || w[i + 1] FROM (SELECT *, unnest(range(1, len(w))) AS i FROM runs) WHERE length(w[i]) >= 3 AND length(w[i + 1]) >= 3) GROUP BY 1)"""
 #: Words between blanks, of two neighbours the end of the first and the beginning of the second; joined to terms by equality.
 _MATCH = rf"""{_TERMS}, ends AS (SELECT term, pos, lower(split_part(term, ' ', 1)) AS one, lower(split_part(term, ' ', 2)) AS two FROM terms),
 forms AS (SELECT term, pos, one || s AS one, '' AS two FROM ends, (VALUES (''), ('s'), ('es')) AS f(s) WHERE two = ''
@@ -245,7 +259,7 @@ FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND rank = 1""",
     "interval_join": f"""WITH {_CH} SELECT ch.doc_id, start, CAST(sum({sql_words('src')}) AS BIGINT) AS words, count(*) AS segments
 FROM lines JOIN ch ON lines.doc_id = ch.doc_id AND i >= start AND i < "end" GROUP BY ALL""",
     "asof_block": """SELECT event_id, user_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase FROM events""",
-    "glossary_match": f"WITH {_MATCH} SELECT term, count(*) AS docs, max(score) AS score FROM found GROUP BY term",
+    "glossary_match": f"WITH {_MATCH.replace(_TERMS, _ALL_TERMS)} SELECT term, count(*) AS docs, max(score) AS score FROM found GROUP BY term",
     "glossary_topk": f"WITH {_MATCH} SELECT doc_id, rank, term, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank FROM found) WHERE rank <= 5",
     "glossary_merge": f"""
 WITH e AS (SELECT {_FOLD.format("upper(c_name)")} AS key FROM customer WHERE c_acctbal < 2000),
