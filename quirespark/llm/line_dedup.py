@@ -20,7 +20,8 @@ deleted would be too many. There the words are dealt by their hash into 2k + 1
 buckets, and a variant keeps one bucket and deletes the others: k edits change at
 most 2k buckets, so near lines share a variant. Each line is verified against the
 earliest line under its variants; where that is too far, the lines that share a
-variant are joined on their k + 2 rarest words, of which near lines share one. No
+variant are compared if they share one of their k + 2 rarest words, as near lines
+do; a crowd of lines under one variant is joined on these words. No
 pair within the bound is lost, and neither a very common half nor a very common
 passage makes all pairs of its lines. One relation holds for lines of every length.
 Pairs of neighbouring words that lines lose to one another tell most far ones
@@ -43,6 +44,8 @@ from quirespark.llm.common import scratch, written
 PER_EDIT, MOST, LONG, GROWTH = 20, 50, 38, 1.25
 #: Longs of marks by which candidates are told to be far.
 MARKS = 4
+#: Lines under a variant beyond which they are joined on their rare words as well, and first variants of a line by which a pair is told once; neither changes the result.
+CROWD, TOLD = 512, 4
 #: Words from which lost pairs of neighbouring words are counted before the edits, and those from which equal places are; neither changes the result.
 PAIRS, PLACES = 500, 2000
 #: Thai and Lao, Myanmar, Khmer, kana and Han, as ranges (a test by script name takes ten times as long): no blanks between words, each letter is one.
@@ -293,8 +296,9 @@ def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
     first = written(judged(tried), "tried")
     far = first.where("not near").select("row")
     # under a variant of two lines the earlier one has been tried
-    open_ = written(keys.where("members > 2").select("k", "row", "place").join(far, "row"), "open")
-    met = written(keys.where("members > 2").select("k", "row", "place").join(open_.select("k").distinct(), "k", "left_semi"), "met")
+    several = keys.where("members > 2").select("k", "row", "place", (F.col("members") > CROWD).alias("crowd"))
+    open_ = written(several.join(far, "row"), "open")
+    met = written(several.join(open_.select("k").distinct(), "k", "left_semi"), "met")
     # one word more than the bound of the longer line; a line of few different words keeps them all
     keep = _bound(n) + 2
     words = lines.join(met.select("row").distinct(), "row").select("row", keep.alias("keep"), F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).alias("ws"))
@@ -302,16 +306,30 @@ def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
     words = written(words, "words")
     seen = words.groupBy("w").agg(F.count(F.lit(1)).cast("int").alias("seen"))
     rank = F.row_number().over(Window.partitionBy("row").orderBy("seen", "w"))
-    rare = written(words.join(seen, "w").withColumn("r", rank).where("r <= keep").select("row", "w"), "rare")
-    marks = written(lines.join(met.select("row").distinct(), "row").select("row", "n", *(m.alias(f"m{i}") for i, m in enumerate(_marks(F.col("line"))))), "marks")
-    ours = open_.join(rare, "row").join(marks, "row").select(F.xxhash64("k", "w").alias("kw"), "row", "place", "n", *(f"m{i}" for i in range(MARKS)))
-    names = {"row": "other", "place": "other_place", "n": "m"} | {f"m{i}": f"o{i}" for i in range(MARKS)}
-    others = met.join(rare, "row").join(marks, "row").select(F.xxhash64("k", "w").alias("kw"), *(F.col(c).alias(d) for c, d in names.items()))
-    # an edit adds one word at most and so one mark; what passes is nearly always near
+    rare = words.join(seen, "w").withColumn("r", rank).where("r <= keep")
+    rare = written(rare.groupBy("row").agg(F.array_sort(F.collect_list("w")).alias("ws")), "rare")
+    told = met.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("k")), 1, TOLD).alias("ks"))
+    marks = lines.join(told, "row").select("row", "n", "ks", *(m.alias(f"m{i}") for i, m in enumerate(_marks(F.col("line")))))
+    marks = written(marks.join(rare, "row"), "marks")
+
+    def laid(of: DataFrame) -> DataFrame:
+        """Rows of the variants with the marks of the lines, in a crowd one for each rare word."""
+        w = F.when(F.col("crowd"), F.col("ws")).otherwise(F.array(F.lit(0).cast("long")))
+        return of.join(marks, "row").select("k", F.explode(w).alias("w"), "crowd", "row", "place", "n", "ks", "ws", *(f"m{i}" for i in range(MARKS)))
+
+    ours, others = laid(open_), laid(met).drop("crowd")
+    names = {"row": "other", "place": "other_place", "n": "m", "ks": "oks", "ws": "ows"} | {f"m{i}": f"o{i}" for i in range(MARKS)}
+    others = others.select("k", "w", *(F.col(c).alias(d) for c, d in names.items()))
+    # an edit adds one word at most and so one mark
     most = _bound(F.greatest("n", "m"))
     added = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(MARKS)))
     like = (F.abs(F.col("n") - F.col("m")) <= most) & (added("m", "o") <= most) & (added("o", "m") <= most)
-    pairs = ours.join(others, (ours["kw"] == others["kw"]) & (F.col("other_place") < F.col("place")) & like).select("row", "other").distinct()
+
+    # of the variants that both have, and of the rare words in a crowd, the least tells the pair; where no variant is among the first ones of both, any does
+    variants, shared = F.array_intersect("ks", "oks"), F.array_intersect("ws", "ows")
+    once = ((F.size(variants) == 0) | (ours["k"] == F.array_min(variants))) & F.when(F.col("crowd"), ours["w"] == F.array_min(shared)).otherwise(F.size(shared) > 0)
+    meet = (ours["k"] == others["k"]) & (ours["w"] == others["w"]) & (F.col("other_place") < F.col("place"))
+    pairs = ours.join(others, meet & like & once).select("row", "other").distinct()
     rest = judged(pairs).where("near").groupBy("place").agg(F.min("other_place").alias("other"))
     return first.where("near").select("place", F.col("other_place").alias("other")).unionAll(rest)
 
