@@ -9,11 +9,11 @@ keyed again by five of eight sub-blocks of its other 32 bits, after which 12
 bits are left free and 4096 is a proven bound.
 
 Texts whose shingle sets are similar by 0.8 differ in ten of 64 bits, which is too
-many for blocks of bits. ``near_duplicates`` therefore cuts the fingerprint before
-its majority is taken: shingles are dealt by their hash into as many blocks as
+many for blocks of bits. ``near_duplicates`` takes what these find and, for the rest,
+cuts the fingerprint before its majority is taken: shingles are dealt by their hash into as many blocks as
 such texts may have differing shingles, a block is the sum of its hashes, and the
 pigeonhole holds for shingles. Candidates that share a block are verified by
-Hamming distance and then by the similarity of their shingle sets.
+Hamming distance, and all by the similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -269,7 +269,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, text_hash, group_id, kept) of each row: groups of texts linked by a shingle similarity of ``similarity`` or more.
 
     Equal shingle sets are one class, so copies are never paired, and the empty
-    texts are one group. Under a block each class is compared with one other first;
+    texts are one group. Candidates are the classes whose fingerprints differ in at
+    most three bits, by the search of :func:`simhash_links`, and those that share a
+    block. Under a block each class is compared with one other first;
     classes that this leaves in different groups are compared with a second one,
     and those still apart with one another. ``text_hash`` is Spark's xxhash64 of the
     text and tells rows apart that repeat an id; rows that repeat both are alike.
@@ -281,11 +283,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("k").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("k")
     met = written(members.join(written(shared, "shared"), "k", "left_semi").distinct(), "met")
 
+    def like(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, fp, n, b, fp_b, n_b) whose fingerprints and sizes are alike, as (a, b)."""
+        alike = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity)
+        return pairs.where(alike).select("a", "b")
+
     def links(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, fp, n, b, fp_b, n_b) that are similar."""
-        like = (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= BITS) & (F.least("n", "n_b") >= F.greatest("n", "n_b") * similarity)
-        pairs = pairs.where(like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = written(pairs, "pairs")
+        """Those of the pairs (a, b) that are similar."""
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         ends = pairs.select(F.col("a").alias("set_hash")).unionAll(pairs.select("b")).distinct()
         sets = rows.select("set_hash", "shingles").join(ends, "set_hash", "left_semi").dropDuplicates(["set_hash"])
         both = pairs.join(sets.select(F.col("set_hash").alias("a"), F.col("shingles").alias("x")), "a")
@@ -306,11 +311,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = grouped.groupBy("k").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x < y").select("k")
         return written(grouped.join(several, "k", "left_semi"), "apart")
 
-    found = links(met.join(leaders(met, F.col("a")), "k").where("a <> b"))
+    sets = written(rows.select("fp", "set_hash").distinct(), "sets")
+    prints = written(sets.groupBy("fp").agg(F.min("set_hash").alias("rep")), "prints")
+    close = sets.join(prints, "fp").where("set_hash <> rep").select(F.col("set_hash").alias("a"), F.col("rep").alias("b")).unionAll(simhash_links(prints))
+    found = links(close.unionAll(like(met.join(leaders(met, F.col("a")), "k").where("a <> b"))))
     left = apart(found)
-    found = found.unionAll(links(left.join(leaders(left, F.xxhash64("a", "k")), "k").where("g <> g_b")))
+    found = found.unionAll(links(like(left.join(leaders(left, F.xxhash64("a", "k")), "k").where("g <> g_b"))))
     left = apart(found)
-    found = found.unionAll(links(left.join(other(left), "k").where("g < g_b")))
+    found = found.unionAll(links(like(left.join(other(left), "k").where("g < g_b"))))
     groups = connected_components(found, "a", "b").select(F.col("node").alias("set_hash"), F.col("component").alias("group"))
     grouped = rows.select("id", "text_hash", "set_hash").join(groups, "set_hash", "left").withColumn("group", F.coalesce("group", "set_hash"))
     grouped = written(grouped, "grouped")

@@ -6,6 +6,7 @@ from functools import partial
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quirespark.llm import content_sort, graph, line_dedup, registry, simhash
 
@@ -303,6 +304,17 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(make(spark, [])).count() == 0
 
 
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """Texts within three bits are found by their fingerprints, without any block of shingles."""
+    sketches = simhash._sketches
+    monkeypatch.setattr(simhash, "_sketches", lambda *a: sketches(*a).withColumn("keys", F.array().cast("array<long>")))
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(2000)}" for _ in range(3000)]
+    data = [(3, " ".join(words)), (4, " ".join([*words[:-1], "other"])), (5, " ".join(reversed(words)))]
+    found = simhash.near_duplicates(make(spark, data)).collect()
+    assert {(r.doc_id, r.group_id) for r in found} == {(3, 3), (4, 3), (5, 5)}
+
+
 def test_line_dedup_keeps_columns_named_like_its_helpers(spark):
     rows = [(1, "one line that is long enough\nx"), (2, "one line that is long enough\ny"), (None, "one line that is long enough")]
     df = spark.createDataFrame([(i, t, *"abcdef") for i, t in rows], "doc_id long, text string, _gone string, _doc string, _hash string, gone string, doc string, text_hash string")
