@@ -16,8 +16,8 @@ line's has no near line and emits nothing, and one that meets others by a first
 half only has its edits in the second and emits those variants.
 
 From 40 words on the bound k is two or more, and all variants with k words
-deleted would be too many. There the words are dealt by their hash into 2k + 1
-buckets, and a variant keeps one bucket and deletes the others: k edits change at
+deleted would be too many. There the words (from the fifth on each occurrence of
+one for itself) are dealt by their hash into 2k + 1 buckets, and a variant keeps one bucket and deletes the others: k edits change at
 most 2k buckets, so near lines share a variant. Each line is verified against the
 earliest line under its variants; where that is too far, the lines that share a
 variant are compared if they share one of their k + 2 rarest words, as near lines
@@ -50,8 +50,8 @@ CROWD, TOLD = 512, 4
 PAIRS, PLACES = 500, 2000
 #: Thai and Lao, Myanmar, Khmer, kana and Han, as ranges (a test by script name takes ten times as long): no blanks between words, each letter is one.
 UNSPACED = r"[฀-໿က-႟ក-៿ぁ-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3FFFF}]"
-#: What a line that isn't words with one blank between them holds: other white space, or letters that all of these scripts and no Latin, Greek or Cyrillic pass.
-ODD = r"[\t\r\f]|  |^ | $|[\x{0E00}-\x{17FF}\x{3040}-\x{3FFFF}]"
+#: Letters that all of these scripts and no Latin, Greek or Cyrillic pass.
+FAR = r"[\x{0E00}-\x{17FF}\x{3040}-\x{3FFFF}]"
 PLACE = ("doc", "text_hash", "line_no")
 
 
@@ -62,19 +62,23 @@ def split_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     # hashed before the texts are exploded, else it would be done for each line
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.split(text_col, "\n", -1).alias("lines"))
-    return texts.select("doc", "text_hash", F.posexplode("lines").alias("line_no", "line"))
+    # an inner explode is preceded by a filter on its array, for which that is made twice more
+    return texts.select("doc", "text_hash", F.posexplode_outer("lines").alias("line_no", "line")).where("line_no is not null")
 
 
 def normal_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, text_hash, line_no, line, n) of every line with a word: its words with one blank between them, and their number.
 
-    Most lines need no change, which one search tells.
+    Most lines need no change, which plain searches tell.
     """
     line = F.col("line")
     word = ~F.substring(line, 1, 1).isin("", *" \t\r\f") | line.rlike(r"[^ \t\r\f]")  # most lines begin with one
     lines = split_lines(docs, id_col, text_col).where(F.col("doc").isNotNull() & word)
     spaced = F.trim(F.regexp_replace(F.regexp_replace(line, UNSPACED, " $0 "), r"[ \t\r\f]+", " "))
-    normal = lines.select(*PLACE, F.when(line.rlike(ODD), spaced).otherwise(line).alias("line"))
+    # plain searches for what a line that isn't words with one blank between them holds; a pattern only where a letter takes several bytes
+    blanks = reduce(Column.__or__, (F.contains(line, F.lit(c)) for c in ("\t", "\r", "\f", "  ")))
+    odd = blanks | line.startswith(" ") | line.endswith(" ") | ((F.octet_length(line) > F.length(line)) & line.rlike(FAR))
+    normal = lines.select(*PLACE, F.when(odd, spaced).otherwise(line).alias("line"))
     n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     return normal.select(*PLACE, "line", n.alias("n"))
 
@@ -190,7 +194,7 @@ def _nearest(lines: DataFrame) -> DataFrame:
     less = F.floor((n - 1) / 2).cast("int")
     frm = F.when(F.col("sides") == 1, less + 1).otherwise(F.lit(1))
     upto = F.when(F.col("sides") == 2, less + 1).otherwise(n)
-    spots = lines.select("place", "line", "n", F.explode(F.concat(F.array(F.lit(0)), F.sequence(frm, upto))).alias("i"))
+    spots = lines.select("place", "line", "n", F.explode_outer(F.concat(F.array(F.lit(0)), F.sequence(frm, upto))).alias("i"))
     i = F.col("i")
     before, after = _first(line, i - 1), _last(line, n - i)
     gap = F.when((i > 1) & (i < n), " ").otherwise("")
@@ -224,16 +228,19 @@ def _nearest(lines: DataFrame) -> DataFrame:
 def _only(rows: DataFrame, wanted: DataFrame, by: str) -> DataFrame:
     """``rows`` without most of those whose ``by`` is not in ``wanted``, so that they aren't shuffled for a join.
 
-    The numbers' hashes of 26 bits are set in 2,048 bitmaps of 4 kB at most, a bound
-    of 8 MB, which are sent to the rows. A join on the number itself must follow.
+    The numbers' hashes of 26 bits are set in 2,048 bitmaps of 4 kB, a bound of 8 MB,
+    which are sent to the rows. A join on the number itself must follow.
     """
     place = F.xxhash64(by).bitwiseAND((1 << 26) - 1)
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int")))
-    found = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(written(bits, "bitmaps")), "bucket").where(bit != 0)
-    return found.select(*rows.columns)
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))
+    some = wanted.select(F.shiftright(place, 6).alias("i"), one(place).alias("b"))
+    every = wanted.sparkSession.range(1 << 20).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
+    longs = some.unionAll(every).groupBy("i").agg(F.bit_or("b").alias("b"))
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col("i"), F.col("b"))))
+    bits = longs.groupBy(F.shiftright("i", 9).alias("bucket")).agg(F.transform(sorted_, lambda x: x["b"]).alias("bits"))
+    found = rows.withColumn("bucket", F.shiftright(place, 15)).join(F.broadcast(written(bits, "bitmaps")), "bucket")
+    bit = F.get("bits", F.shiftright(place, 6).bitwiseAND(511).cast("int")).bitwiseAND(one(place))
+    return found.where(bit != 0).select(*rows.columns)
 
 
 def _marks(line: Column) -> list[Column]:
@@ -244,27 +251,57 @@ def _marks(line: Column) -> list[Column]:
     return [F.aggregate(part(i), F.lit(0).cast("long"), lambda bits, h: bits.bitwiseOR(bit(h))) for i in range(MARKS)]
 
 
+def _odd(h: Column) -> Column:
+    return F.call_function("shiftrightunsigned", h, F.lit(2)).bitwiseOR(F.lit(1).cast("long"))
+
+
+def _elements(line: Column) -> Column:
+    """Odd 62-bit hashes of the words, sorted by word; from the fifth one on, each occurrence of a word is an element of its own.
+
+    So a word that stands there very often is not in one bucket, and an edit still adds and takes one element.
+    """
+    hashes = F.sort_array(F.transform(F.split(line, " "), lambda w: _odd(F.xxhash64(w))))
+    starts = lambda hs: F.array_compact(F.transform(hs, lambda h, i: F.when((i == 0) | (F.get(hs, i - 1) != h), i)))
+    run = lambda h, upto: F.transform(F.sequence(F.lit(0), upto), lambda o: F.when(o > 3, _odd(F.xxhash64(h, o))).otherwise(h))
+    runs = lambda hs, at: F.flatten(F.transform(at, lambda i, r: run(F.get(hs, i), F.coalesce(F.get(at, r + 1), F.size(hs)) - i - 1)))
+    # bound to variables, so that each is made once
+    return F.transform(F.array(hashes), lambda hs: F.transform(F.array(starts(hs)), lambda at: runs(hs, at))[0])[0]
+
+
+def _dealt(elements: Column, m: Column) -> Column:
+    """``elements`` dealt by value into m sorted buckets: sorted among even bounds, cut at these."""
+    bounds = F.transform(F.sequence(F.lit(0), m), lambda j: j.cast("long") * F.floor(F.lit(1 << 61) / m).cast("long") * 2)
+    places = lambda es: F.array_compact(F.transform(es, lambda e, i: F.when(e.bitwiseAND(1) == 0, i)))
+    cut = lambda es, ps: F.transform(F.sequence(F.lit(1), m), lambda j: F.slice(es, F.get(ps, j - 1) + 2, F.get(ps, j) - F.get(ps, j - 1) - 1))
+    return F.transform(F.array(F.sort_array(F.concat(elements, bounds))), lambda es: F.transform(F.array(places(es)), lambda ps: cut(es, ps))[0])[0]
+
+
 def _long_keys(lines: DataFrame) -> DataFrame:
     """(row, k): bucket variants that long ``lines`` share; few of them should be equal.
 
     Lines of one length class have one number of buckets; one that can meet shorter
-    lines of the class below has the variants of both. A bucket is the
-    sum of its words' hashes, made by adding up rows; empty ones count.
+    lines of the class below has the variants of both. Empty buckets count. Very many
+    lines have the same bucket of one word or none, so such a bucket makes a variant
+    with each bucket of a second dealing, of which near lines share one as well.
     """
     of = lambda m: F.greatest(F.lit(0), F.floor(F.log(m.cast("double") / LONG) / log(GROWTH)).cast("int"))
     n = F.col("n")
-    sized = lines.select("row", "line", F.explode(F.array_distinct(F.array(of(n), of(n - _bound(n))))).alias("c"))
+    sized = lines.select("row", _elements(F.col("line")).alias("es"), F.array_distinct(F.array(of(n), of(n - _bound(n)))).alias("cs"))
+    sized = sized.select("row", "es", F.explode_outer("cs").alias("c"))
     # the longest line with variants of the class is a bound longer than the class
-    buckets = 2 * _bound(F.pow(F.lit(GROWTH), F.col("c") + 1) * (LONG * 1.06)) + 1
-    every = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.concat(F.lit("\n"), j.cast("string")))
-    words = sized.withColumn("m", buckets).select("row", "c", "m", F.explode(F.concat(F.split("line", " "), every)).alias("w"))
-    empty, h = F.col("w").startswith("\n"), F.xxhash64("w")
-    j = F.when(empty, F.substring("w", 2, 9).cast("int")).otherwise(F.pmod(h, F.col("m")).cast("int"))
-    dealt = words.select("row", (F.col("c") * 1000 + j).alias("j"), F.when(empty, 0).otherwise(h.bitwiseAND((1 << 44) - 1)).alias("s"))
-    sums = dealt.groupBy("row", "j").agg(F.sum("s").alias("s"))
-    keys = written(sums.select("row", F.xxhash64("j", "s").alias("k")), "buckets")
-    shared = written(keys.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "shared")
-    return _only(keys, shared, "k").join(shared, "k")  # a semi-join would be pushed below the bitmaps
+    m = 2 * _bound(F.pow(F.lit(GROWTH), F.col("c") + 1) * (LONG * 1.06)) + 1
+    again = _dealt(F.transform("es", lambda e: _odd(F.xxhash64(e))), m)
+    few = lambda b: F.coalesce(F.get(b, F.lit(0)) == F.get(b, F.size(b) - 1), F.lit(True))
+
+    def keys(buckets: Column) -> Column:
+        plain = F.transform(buckets, lambda b, j: F.when(~few(b), F.xxhash64(F.lit(1), "c", j, b)))
+        pairs = lambda seconds: F.flatten(F.transform(buckets, lambda b, j: F.when(few(b), F.transform(seconds, lambda o, i: F.xxhash64(F.lit(2), "c", j, i, b, o))).otherwise(F.array().cast("array<bigint>"))))
+        return F.array_compact(F.when(F.exists(buckets, few), F.concat(plain, F.transform(F.array(again), pairs)[0])).otherwise(plain))
+
+    keyed = sized.select("row", F.explode_outer(F.transform(F.array(_dealt(F.col("es"), m)), keys)[0]).alias("k"))
+    keys_ = written(keyed, "buckets")
+    shared = written(keys_.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "shared")
+    return _only(keys_, shared, "k").join(shared, "k")  # a semi-join would be pushed below the bitmaps
 
 
 def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
@@ -294,19 +331,21 @@ def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
         return found.select("row", "place", "other", "other_place", near.alias("near"))
 
     first = written(judged(tried), "tried")
-    far = first.where("not near").select("row")
-    # under a variant of two lines the earlier one has been tried
-    several = keys.where("members > 2").select("k", "row", "place", (F.col("members") > CROWD).alias("crowd"))
-    open_ = written(several.join(far, "row"), "open")
+    far = first.where("not near").select("row", F.col("other").alias("tried"))
+    several = keys.select("k", "row", "place", "least", "members", (F.col("members") > CROWD).alias("crowd"))
+    # not the variants of two lines of which the earlier one has been tried, nor those of no earlier line
+    open_ = several.join(far, "row").where("least.place < place and (members > 2 or least.row != tried)").select("k", "row", "place", "crowd")
+    open_ = written(open_, "open")
+    several = several.select("k", "row", "place", "crowd")
     met = written(several.join(open_.select("k").distinct(), "k", "left_semi"), "met")
     # one word more than the bound of the longer line; a line of few different words keeps them all
     keep = _bound(n) + 2
     words = lines.join(met.select("row").distinct(), "row").select("row", keep.alias("keep"), F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w))).alias("ws"))
-    words = words.select("row", F.when(F.size("ws") <= 2 * F.col("keep"), F.size("ws")).otherwise(F.col("keep")).alias("keep"), F.explode("ws").alias("w"))
+    words = words.select("row", F.when(F.size("ws") <= 2 * F.col("keep"), F.size("ws")).otherwise(F.col("keep")).alias("keep"), F.explode_outer("ws").alias("w"))
     words = written(words, "words")
     seen = words.groupBy("w").agg(F.count(F.lit(1)).cast("int").alias("seen"))
     rank = F.row_number().over(Window.partitionBy("row").orderBy("seen", "w"))
-    rare = words.join(seen, "w").withColumn("r", rank).where("r <= keep")
+    rare = words.join(seen, "w").withColumn("r", rank).where("r <= keep and seen > 1")  # a word of one line meets none
     rare = written(rare.groupBy("row").agg(F.array_sort(F.collect_list("w")).alias("ws")), "rare")
     told = met.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("k")), 1, TOLD).alias("ks"))
     marks = lines.join(told, "row").select("row", "n", "ks", *(m.alias(f"m{i}") for i, m in enumerate(_marks(F.col("line")))))
@@ -315,7 +354,7 @@ def _nearest_long(lines: DataFrame, keys: DataFrame) -> DataFrame:
     def laid(of: DataFrame) -> DataFrame:
         """Rows of the variants with the marks of the lines, in a crowd one for each rare word."""
         w = F.when(F.col("crowd"), F.col("ws")).otherwise(F.array(F.lit(0).cast("long")))
-        return of.join(marks, "row").select("k", F.explode(w).alias("w"), "crowd", "row", "place", "n", "ks", "ws", *(f"m{i}" for i in range(MARKS)))
+        return of.join(marks, "row").select("k", F.explode_outer(w).alias("w"), "crowd", "row", "place", "n", "ks", "ws", *(f"m{i}" for i in range(MARKS)))
 
     ours, others = laid(open_), laid(met).drop("crowd")
     names = {"row": "other", "place": "other_place", "n": "m", "ks": "oks", "ws": "ows"} | {f"m{i}": f"o{i}" for i in range(MARKS)}

@@ -253,6 +253,25 @@ def test_line_dedup_very_long_lines(spark):
     assert [(r.doc, r.first_doc) for r in got] == [(2, 1)]
 
 
+def test_line_dedup_near_line_that_shares_other_variants_than_an_earlier_far_one(spark):
+    rng, lines = random.Random(5), []
+    for t in range(300):
+        words = [f"t{t}w{i}" for i in range(60)]
+        other = [*words[:30], f"t{t}x", *words[31:]]
+        far = [w if rng.random() < 0.6 else f"t{t}z{i}" for i, w in enumerate(other)]
+        lines += [far, words, other]
+    got = {r.doc: r.first_doc for r in line_dedup.duplicate_lines(make(spark, [(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
+    assert got == {3 * t + 2: 3 * t + 1 for t in range(300)}
+
+
+def test_line_dedup_lines_of_few_words_share_no_variants(spark):
+    texts = [" ".join(f"r{r}w{i}" for i in range(10) for _ in range(30)) for r in range(200)]
+    near = [texts[0] + " more", texts[1].replace("r1w5 ", "", 3)]
+    df = spark.createDataFrame([(i, t, len(t.split())) for i, t in enumerate(texts + near)], ["row", "line", "n"])
+    shared = {r.row for r in line_dedup._long_keys(df).collect()}
+    assert shared == {0, 1, 200, 201}
+
+
 def test_line_dedup_one_relation_for_all_lengths(spark):
     """A line of more than 2,000 words a part of which has moved is as far as a shorter one."""
     rng = random.Random(9)
