@@ -63,11 +63,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             outer.extend(last)
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: cuts lineage, survives lost executors. ``options`` are the writer's."""
     spark = df.sparkSession
     path = new_folder(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

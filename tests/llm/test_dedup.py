@@ -286,6 +286,58 @@ def test_line_dedup_one_relation_for_all_lengths(spark):
     assert {(r.doc, r.first_doc) for r in got} == {(2, 0), (3, 1)}
 
 
+def test_line_dedup_lays_a_line_of_many_crowds_out_once(spark):
+    """Rows don't grow with the crowds that a line is in, but for one for each rare word."""
+    marks = spark.range(2).selectExpr("id row", "60 n", "array(7L) ks", "array(1L, 2L, 3L) ws", *(f"0L m{i}" for i in range(line_dedup.MARKS)))
+    of = spark.range(10).selectExpr("id k", "id % 2 row", "id % 2 place", "id < 8 crowd")
+    got = sorted((r.row, r.k, r.w) for r in line_dedup._laid(of, marks).collect())
+    assert got == sorted([(i, 0, w) for i in (0, 1) for w in (1, 2, 3)] + [(0, 8, 0), (1, 9, 0)])
+
+
+def test_line_dedup_crowds_against_all_pairs(spark, monkeypatch):
+    """Lines under crowded variants, most of them far from the earliest one."""
+    monkeypatch.setattr(line_dedup, "CROWD", 3)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    lines = []
+    for _ in range(40):
+        line = list(rng.choice(lines)) if lines and rng.random() < 0.5 else list(base)
+        for at in rng.sample(range(60), rng.choice([1, 3, 5])):
+            line[at] = f"x{rng.randrange(25)}"
+        lines.append(line)
+    lines += [["a", "b", "c"] * 20, ["a", "b", "c"] * 20 + ["d", "e"], [f"v{i % 22}" for i in range(60)], [f"v{i % 22}" for i in range(59)] + ["new"]]  # few different words, and at the limit
+    want = {}
+    for k, w in enumerate(lines):
+        first = next((j for j, v in enumerate(lines[:k]) if edit_distance(w, v) <= max(len(w), len(v)) // 20), None)
+        if first is not None:
+            want[k] = first
+    got = {r.doc: r.first_doc for r in line_dedup.duplicate_lines(make(spark, [(i, " ".join(w)) for i, w in enumerate(lines)])).collect()}
+    assert got == want and len(want) > 10 and {41, 43} <= set(want)
+
+
+def test_line_dedup_does_not_shuffle_texts_without_duplicates(spark, monkeypatch):
+    """The cut alone, with the duplicate lines given: bitmaps of some MB are moved, texts of 48 MB are not."""
+    gone = spark.createDataFrame([(101, "a line of two texts\ny")], "doc long, text string").select("doc", F.xxhash64("text").alias("text_hash"), F.lit(0).alias("line_no"))
+    monkeypatch.setattr(line_dedup, "duplicate_lines", lambda *a: gone)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(150_000)), lambda i: F.lpad(F.hex(F.xxhash64("id", i)), 16, "0")), "")
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs = docs.unionAll(spark.createDataFrame([(100, "a line of two texts\nx"), (101, "a line of two texts\ny")], "doc_id long, text string"))
+    executors = lambda: spark._jsc.sc().statusStore().executorList(False)
+    shuffled = lambda: sum(x.apply(i).totalShuffleWrite() for x in [executors()] for i in range(x.size()))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        before = shuffled()
+        cut = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.substring("text", 1, 50).alias("text")).collect()}
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(cut) == 22 and cut[100] == ("a line of two texts\nx", 2, 0) and cut[101] == ("y", 2, 1)
+    assert all(len(cut[i][0]) == 50 and cut[i][1:] == (1, 0) for i in range(20))
+    assert 0 < moved < 24_000_000
+
+
 def test_near_duplicates(spark):
     """Groups of texts with a five-word shingle similarity of 0.8 or more, against all pairs."""
     rng = random.Random(6)
