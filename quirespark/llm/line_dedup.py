@@ -268,13 +268,13 @@ def _odd(h: Column) -> Column:
 
 
 def _elements(line: Column) -> Column:
-    """Odd 62-bit hashes of the words, sorted by word; from the fifth one on, each occurrence of a word is an element of its own.
+    """Hashes of the words, sorted by word; from the fifth one on, each occurrence of a word is an element of its own.
 
     So a word that stands there very often is not in one bucket, and an edit still adds and takes one element.
     """
-    hashes = F.sort_array(F.transform(F.split(line, " "), lambda w: _odd(F.xxhash64(w))))
+    hashes = F.sort_array(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
     starts = lambda hs: F.array_compact(F.transform(hs, lambda h, i: F.when((i == 0) | (F.get(hs, i - 1) != h), i)))
-    run = lambda h, upto: F.transform(F.sequence(F.lit(0), upto), lambda o: F.when(o > 3, _odd(F.xxhash64(h, o))).otherwise(h))
+    run = lambda h, upto: F.transform(F.sequence(F.lit(0), upto), lambda o: F.when(o > 3, F.xxhash64(h, o)).otherwise(F.coalesce(h, F.lit(0).cast("long"))))
     runs = lambda hs, at: F.flatten(F.transform(at, lambda i, r: run(F.get(hs, i), F.coalesce(F.get(at, r + 1), F.size(hs)) - i - 1)))
     # bound to variables, so that each is made once
     return F.transform(F.array(hashes), lambda hs: F.transform(F.array(starts(hs)), lambda at: runs(hs, at))[0])[0]
@@ -302,7 +302,7 @@ def _long_keys(lines: DataFrame) -> DataFrame:
     """
     of = lambda m: F.greatest(F.lit(0), F.floor(F.log(m.cast("double") / LONG) / log(GROWTH)).cast("int"))
     n = F.col("n")
-    different = F.array_distinct(F.transform(F.split("line", " "), lambda w: _odd(F.xxhash64(w))))
+    different = F.array_distinct(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)))
     sized = lines.select("row", "line", different.alias("hs"), F.array_distinct(F.array(of(n), of(n - _bound(n)))).alias("cs"))
     sized = sized.select("row", "line", "hs", F.size("hs").alias("words"), F.explode_outer("cs").alias("c"))
     # the longest line with variants of the class is a bound longer than the class; edits and so buckets of each class, up to the first of those with the most
@@ -313,21 +313,26 @@ def _long_keys(lines: DataFrame) -> DataFrame:
     of_class = lambda values: F.get(F.array(*values), F.least("c", F.lit(len(edits) - 1)))
     few_words = lambda more: F.when(F.col("words") < of_class([F.lit(DIFFERENT * (2 * k + 1) + more * k) for k in edits]), 1).otherwise(0)
     sized = sized.select("row", "line", "hs", "c", F.explode_outer(F.sequence(few_words(0), few_words(1))).alias("way"))
-    # even bounds of equal ranges of hashes, with both ends
-    bounds = [F.lit([2 * j * ((1 << 61) // (2 * k + 1)) for j in range(2 * k + 2)]).cast("array<long>") for k in edits]
-    sized = sized.select("row", "c", "way", F.when(F.col("way") == 0, F.col("hs")).otherwise(_elements(F.col("line"))).alias("es"), of_class(bounds).alias("bounds"))
-    # sorted in a column of its own, which is compiled
+    # bounds of equal ranges of hashes, with both ends; a cast to array<long> would let them be null, and sorting takes ten times as long where an element may be
+    bounds = of_class([F.array(*(F.lit(min(j * ((1 << 64) // (2 * k + 1)) - (1 << 63), (1 << 63) - 1)).cast("long") for j in range(2 * k + 2))) for k in edits])
+    sized = sized.select("row", "c", "way", F.when(F.col("way") == 0, F.col("hs")).otherwise(_elements(F.col("line"))).alias("es"), bounds.alias("bounds"))
+    # the bounds are found again by plain searches, a row for each bucket: all compiled, as functions of each element aren't
     sized = sized.select("row", "c", "way", "es", "bounds", F.sort_array(F.concat("es", "bounds")).alias("merged"))
-    # bound to a variable, so that it is sorted once
-    again = F.transform(F.array(F.sort_array(F.concat(F.transform("es", lambda e: _odd(F.xxhash64(e))), "bounds"))), _cut)[0]
-    few = lambda b: F.coalesce(F.get(b, F.lit(0)) == F.get(b, F.size(b) - 1), F.lit(True))
-
-    def keys(buckets: Column) -> Column:
-        plain = F.transform(buckets, lambda b, j: F.when(~few(b), F.xxhash64(F.lit(1), "c", "way", j, b)))
-        pairs = lambda seconds: F.flatten(F.transform(buckets, lambda b, j: F.when(few(b), F.transform(seconds, lambda o, i: F.xxhash64(F.lit(2), "c", "way", j, i, b, o))).otherwise(F.array().cast("array<bigint>"))))
-        return F.array_compact(F.when(F.exists(buckets, few), F.concat(plain, F.transform(F.array(again), pairs)[0])).otherwise(plain))
-
-    keyed = sized.select("row", F.explode_outer(F.transform(F.array(_cut(F.col("merged"))), keys)[0]).alias("k"))
+    # the generator names what is sorted, else that would be sorted for each bucket
+    last = F.size("merged") - F.size("es") - 2
+    dealt = sized.select("row", "c", "way", "es", "bounds", "merged", F.explode_outer(F.sequence(F.lit(0), last)).alias("j"))
+    at = lambda j: F.array_position("merged", F.get("bounds", j)).cast("int")
+    dealt = dealt.select("row", "c", "way", "es", "bounds", "merged", "j", at(F.col("j")).alias("p"), at(F.col("j") + 1).alias("q"))
+    few = (F.col("q") - F.col("p") < 2) | (F.get("merged", F.col("p")) == F.get("merged", F.col("q") - 2))
+    dealt = dealt.select("row", "c", "way", "es", "j", few.alias("few"), F.slice("merged", F.col("p") + 1, F.col("q") - F.col("p") - 1).alias("b"))
+    # rows of enough words carry a hash only
+    again_es, again_b = (F.when(F.col("few"), F.col(c)).alias(c) for c in ("es", "b"))
+    dealt = dealt.select("row", "c", "way", "j", "few", again_es, again_b, F.when(~F.col("few"), F.xxhash64(F.lit(1), "c", "way", "j", "b")).alias("plain"))
+    # odd elements among even bounds; bound to a variable, so that it is sorted once
+    even = of_class([F.array(*(F.lit(2 * j * ((1 << 61) // (2 * k + 1))).cast("long") for j in range(2 * k + 2))) for k in edits])
+    again = F.transform(F.array(F.sort_array(F.concat(F.transform("es", lambda e: _odd(F.xxhash64(e))), even))), _cut)[0]
+    pairs = F.transform(again, lambda o, i: F.xxhash64(F.lit(2), "c", "way", "j", i, "b", o))
+    keyed = dealt.select("row", F.explode_outer(F.when(F.col("few"), pairs).otherwise(F.array("plain"))).alias("k"))
     keys_ = written(keyed, "buckets")
     shared = written(keys_.groupBy("k").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k"), "shared")
     return _only(keys_, shared, "k").join(shared, "k")  # a semi-join would be pushed below the bitmaps

@@ -286,6 +286,23 @@ def test_line_dedup_one_relation_for_all_lengths(spark):
     assert {(r.doc, r.first_doc) for r in got} == {(2, 0), (3, 1)}
 
 
+def test_line_dedup_deals_words_in_compiled_columns(spark, monkeypatch):
+    """Sorting takes ten times as long where an element may be null; functions of each element are for buckets of one word or none."""
+    text = " ".join(f"w{i}" for i in range(60))
+    few = " ".join(f"w{i % 3}" for i in range(60))
+    lines = spark.createDataFrame([(1, text, 60), (2, text + " more", 61), (3, few, 60)], "row long, line string, n int")
+    assert not lines.select(line_dedup._elements(F.col("line")).alias("es")).schema["es"].dataType.containsNull
+    made, written = {}, line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, tag, options=None: made.setdefault(tag, df) and written(df, tag, options))
+    shared = line_dedup._long_keys(lines).select("row", "k").distinct()
+    steps = made["buckets"]._jdf.queryExecution().executedPlan().toString().splitlines()
+    for compiled in ("AS merged", "array_position", "AS plain"):
+        found = [step for step in steps if compiled in step]
+        assert found and all("*(" in step.split("Project")[0] for step in found), compiled
+    assert {r["row"] for r in shared.collect()} == {1, 2}
+    assert made["buckets"].where("row = 1").select("k").distinct().count() >= 2 * 3 + 1
+
+
 def test_line_dedup_lays_a_line_of_many_crowds_out_once(spark):
     """Rows don't grow with the crowds that a line is in, but for one for each rare word."""
     marks = spark.range(2).selectExpr("id row", "60 n", "array(7L) ks", "array(1L, 2L, 3L) ws", *(f"0L m{i}" for i in range(line_dedup.MARKS)))
